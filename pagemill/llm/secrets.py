@@ -122,11 +122,11 @@ def find(docs: DataFrame, samples: DataFrame | None = None, key: str = "doc_id",
     """Per row: the key, ``base`` and ``spans`` (base ones and the models'), arrays of (s, e, kind, value) in order."""
     scanned = settle(scan(docs, key, text, run_chars), "spans")
     weights = train(samples_of(scanned, run_chars) if samples is None else samples)
-    model = docs.sparkSession.createDataFrame([(weights,)], "model array<double>")
-    df = scanned.crossJoin(F.broadcast(model))  # one row of fixed size
-    extra = F.filter("runs", lambda x: llr(x["value"], F.col("model")) >= margin)
+    # a constant of the plan: of fixed size, and no join to bring it in
+    model = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    extra = F.filter("runs", lambda x: llr(x["value"], model) >= margin)
     ordered = F.array_sort(F.concat("base", extra))
-    return df.select(key, "base", F.when(F.size("runs") == 0, F.col("base")).otherwise(ordered).alias("spans"))
+    return scanned.select(key, "base", F.when(F.size("runs") == 0, F.col("base")).otherwise(ordered).alias("spans"))
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
