@@ -69,7 +69,7 @@ def _s(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_arrays(at: np.ndarray, feature: np.ndarray, grades: np.ndarray, size: int, n_grades: int, least_docs: int = 5, decay: float = 4e-4, steps: int = 250, balance: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+def fit_arrays(at: np.ndarray, feature: np.ndarray, grades: np.ndarray, size: int, n_grades: int, least_docs: int = 5, decay: float = 4e-4, steps: int = 250, balance: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the mean negative log-likelihood with weight decay.
 
     Rows count by their grade's share to the power ``-balance``, so that rare grades are heard.

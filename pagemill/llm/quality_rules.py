@@ -95,16 +95,17 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__q_words", F.regexp_extract_all("__q_text", F.lit(WORD), 0))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, text: str = "text", sample_rows: int = 1000) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, text: str = "text", sample_rows: int = 500) -> list[Rule]:
     """Rules by rejections per second on at most ``sample_rows`` rows, the best first; ties keep the given order.
 
     The sample only sets the order, so any rows do; its size is the bound on what is read for it.
     """
-    sample = _with_words(docs.select(F.col(text)).limit(sample_rows), text).persist()
+    rows = docs.select(F.col(text).cast("string").alias(text)).take(sample_rows)
+    if not rows:
+        return list(rules)
+    sample = _with_words(docs.sparkSession.createDataFrame(rows, f"`{text}` string"), text).persist()
     try:
         n = sample.count()
-        if not n:
-            return list(rules)
         m = measures(F.col("__q_text"), F.col("__q_words"))
 
         def timed(condition: Column) -> tuple[float, int]:
@@ -130,7 +131,7 @@ def verdict(rules: list[Rule], m: dict[str, Column]) -> Column:
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + FURTHER, sample_rows: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + FURTHER, sample_rows: int = 500) -> DataFrame:
     """The rows that every rule keeps, with their own columns."""
     ordered = order_rules(docs, rules, text, sample_rows)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -139,7 +140,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE +
     return docs.filter(kept)
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 500) -> DataFrame:
     """One row per document: key, the base measures, ``base_failed`` and ``kept``."""
     docs = docs.select(F.col(key), F.col(text))
     further = order_rules(docs, FURTHER, text, sample_rows)
