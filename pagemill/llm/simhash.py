@@ -7,8 +7,8 @@ first variant its fingerprints share, so only once.
 
 No pairs are emitted within a group before it is contracted: variants are first dealt out by (variant, fingerprint) ranges,
 which no hot variant can fill, and each fingerprint is tied to the few before it in its run. The components of these ties
-label the fingerprints; variants whose fingerprints all have one label drop out, and the join keeps only pairs of different
-labels. Equal fingerprints count once throughout.
+label the fingerprints; heavy variants whose fingerprints all have one label drop out, and the join keeps only pairs of
+different labels. Equal fingerprints count once throughout.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; ties and repeated rows share their
 component; null keys never serve as component id unless there is no other; an empty table gives an empty result.
@@ -176,18 +176,20 @@ def links(fps: DataFrame, bits: int = 4, hot: int = 256) -> DataFrame:
     labels = components(ties)
     named = settle(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
     keyed = variants(named, bits)
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    keyed = settle(keyed.join(mixed, "key"), "variants")
+    heavy = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > hot)
+    heavy = settle(heavy, "heavy")
 
     def joined(left: DataFrame, right: DataFrame, more: Column | None) -> DataFrame:
         a, b = (df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns]) for s, df in (("a", left), ("b", right)))
         x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
         on = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.bit_count(x) <= bits)
-        on &= _first_shared(F.col("a_variant").cast("int"), x, bits) & more
+        # of both sides, which then have the same columns and share one exchange
+        on &= _first_shared(F.greatest("a_variant", "b_variant").cast("int"), x, bits) & more
         return a.join(b.hint("merge"), on).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
 
-    few = keyed.filter(F.col("n") <= hot).select("key", "variant", "fp", "label")
-    many = keyed.filter(F.col("n") > hot)
+    few = keyed.join(heavy.select("key"), "key", "left_anti")
+    # a heavy variant of one label holds no link that matters
+    many = keyed.join(heavy.filter("lo < hi").select("key"), "key", "left_semi")
     most = many.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
     many = settle(lookup_salted(many.select("key", "variant", "fp", "label"), most, "key", "n"), "hot")
     minor = many.filter("label <> top")
