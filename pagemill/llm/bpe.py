@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +31,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[int]]:
-    """(left, right, rank) of every pair of tokens whose joined bytes are a token, and the unsafe ranks.
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[int], set[int]]:
+    """(left, right, rank) of every pair of tokens whose joined bytes are a token, the unsafe ranks, and those that overlap.
 
     A rank is unsafe if contracting its pair can bring up a pair of lower rank: then its places must contract one by one.
     For that a token x = p + q and a neighbour n must join to a token of lower rank than x, while q + n (or n + p) is no
-    token of lower rank than x, or it would have contracted first.
+    token of lower rank than x, or it would have contracted first. Places of a rank can overlap if one token ends one of
+    its pairs and begins another (or the same).
     """
     splits: dict[bytes, list[tuple[bytes, bytes]]] = {}
     for token in ranks:
         splits[token] = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
     left, right, rank = [], [], []
-    unsafe = set()
+    unsafe, overlap = set(), set()
     for token, pairs in splits.items():
         r = ranks[token]
+        if {a for a, _ in pairs} & {b for _, b in pairs}:
+            overlap.add(r)
         for a, b in pairs:
             left.append(ranks[a])
             right.append(ranks[b])
@@ -52,36 +56,31 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
                 unsafe.add(ranks[a])
             if ranks[b] > r and any(ranks.get(a + p, 1 << 30) > ranks[b] for p, _ in splits[b]):
                 unsafe.add(ranks[b])
-    return np.array(left, np.int32), np.array(right, np.int32), np.array(rank, np.int32), unsafe
+    return np.array(left, np.int32), np.array(right, np.int32), np.array(rank, np.int32), unsafe, overlap
 
 
-#: Rows of a word carry the rank of the pair that begins at them (no pair: NO). A step finds each word's least rank and its
-#: left-most place, contracts, and joins the new neighbours to the merge table; words without a pair are finished.
+#: Rows of a word carry a key of the pair that begins at them: twice its rank, and one if its places contract one by one,
+#: then the position (no pair: NO). A step finds each word's least key, contracts there (or at all places of the rank) and
+#: joins the new neighbours to the merge table; words without a pair are finished.
 NO = 1 << 24
+_KEYED = f"coalesce(m.code, {NO}) * {1 << 32} + c.pos AS key FROM ({{0}}) c LEFT JOIN merges m ON m.a = c.id AND m.b = c.next"
+_HIT = "({0} = best OR ((best >> 32) & 1 = 0 AND {0} >> 32 = best >> 32))"
 ENCODE = f"""
-WITH RECURSIVE step(word, pos, id, rank, one, best) AS (
-    SELECT *, min(rank * {1 << 32} + pos) OVER (PARTITION BY word) AS best FROM (
-        SELECT s.word, s.pos, s.id, coalesce(m.rank, {NO})::BIGINT AS rank, coalesce(m.one, false) AS one
-        FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM start) s LEFT JOIN merges m ON m.a = s.id AND m.b = s.next
-    )
+WITH RECURSIVE step(word, pos, id, key, best) AS (
+    SELECT *, min(key) OVER (PARTITION BY word) FROM (SELECT c.word, c.pos, c.id, {_KEYED.format("SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM start")})
     UNION ALL
-    SELECT word, pos, id, rank, one, min(rank * {1 << 32} + pos) OVER (PARTITION BY word) FROM (
-        SELECT c.word, c.pos, c.id, coalesce(m.rank, {NO})::BIGINT AS rank, coalesce(m.one, false) AS one
-        FROM (
-            SELECT word, pos, CASE WHEN hit THEN best >> 32 ELSE id END AS id,
-                   CASE WHEN hit THEN CASE WHEN hit2 THEN best >> 32 ELSE id2 END ELSE CASE WHEN hit1 THEN best >> 32 ELSE id1 END END AS next
-            FROM (
-                SELECT word, pos, id, best, hit, lag(hit, 1, false) OVER w AS eaten, lead(hit) OVER w AS hit1, lead(hit, 2) OVER w AS hit2, lead(id) OVER w AS id1, lead(id, 2) OVER w AS id2
-                FROM (SELECT word, pos, id, best, rank = best >> 32 AND (NOT one OR pos = best & {(1 << 32) - 1}) AS hit FROM step WHERE best < {NO << 32})
-                WINDOW w AS (PARTITION BY word ORDER BY pos)
-            )
-            WHERE NOT eaten
-        ) c LEFT JOIN merges m ON m.a = c.id AND m.b = c.next
-    )
+    SELECT *, min(key) OVER (PARTITION BY word) FROM (SELECT c.word, c.pos, c.id, {_KEYED.format(f"""
+        SELECT word, pos, CASE WHEN {_HIT.format("key")} THEN best >> 33 ELSE id END AS id,
+               CASE WHEN {_HIT.format("key")} THEN CASE WHEN {_HIT.format("key2")} THEN best >> 33 ELSE id2 END
+                    WHEN {_HIT.format("key1")} THEN best >> 33 ELSE id1 END AS next
+        FROM (SELECT word, pos, id, key, best, lag(key) OVER w AS key0, lead(key) OVER w AS key1, lead(key, 2) OVER w AS key2, lead(id) OVER w AS id1, lead(id, 2) OVER w AS id2
+              FROM step WHERE best < {NO << 32} WINDOW w AS (PARTITION BY word ORDER BY pos))
+        WHERE NOT coalesce({_HIT.format("key0")}, false)
+    """)})
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE best >= {NO << 32} GROUP BY word
+SELECT word, list(id::INTEGER ORDER BY pos) AS ids FROM step WHERE best >= {NO << 32} GROUP BY word
 """
-#: The same for words with long runs of one byte, whose equal pairs overlap: every second place of a run contracts.
+#: The same for words with long runs: where all places of the rank are pairs of equal tokens, every second of a run contracts.
 ENCODE_RUNS = """
 WITH RECURSIVE step(word, pos, id, live) AS (
     SELECT word, pos, id, true FROM start
@@ -90,21 +89,23 @@ WITH RECURSIVE step(word, pos, id, live) AS (
         WITH paired AS (
             SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM step WHERE live
         ), least AS (
-            SELECT p.*, m.rank, m.one AND m.a <> m.b AS one, min(m.rank) OVER (PARTITION BY word) AS best FROM paired p LEFT JOIN merges m ON m.a = p.id AND m.b = p.next_id
+            SELECT p.*, m.code >> 1 AS rank, m.code & 1 = 1 AS one, m.unsafe, min(m.code >> 1) OVER (PARTITION BY word) AS best
+            FROM paired p LEFT JOIN merges m ON m.a = p.id AND m.b = p.next_id
         ), placed AS (
             SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS k FROM least
         ), runs AS (
-            SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth FROM placed
+            SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth, bool_and(NOT hit OR id = next_id) OVER (PARTITION BY word) AS equal FROM placed
         ), chosen AS (
-            SELECT word, pos, id, best, hit AND CASE WHEN one THEN nth = 1
-                   WHEN id = next_id THEN (row_number() OVER (PARTITION BY word, hit, k - nth ORDER BY pos)) % 2 = 1 ELSE true END AS taken FROM runs
+            SELECT word, pos, id, best, hit AND CASE WHEN unsafe THEN nth = 1
+                   WHEN equal THEN (row_number() OVER (PARTITION BY word, hit, k - nth ORDER BY pos)) % 2 = 1
+                   WHEN one THEN nth = 1 ELSE true END AS taken FROM runs
         ), gone AS (
             SELECT word, pos, id, best, taken, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten FROM chosen
         )
         SELECT word, pos, CASE WHEN taken THEN best ELSE id END AS id, best IS NOT NULL AS live FROM gone WHERE NOT eaten
     )
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT word, list(id::INTEGER ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
 """
 DECODE = "SELECT word, string_agg(v.text, '' ORDER BY i.pos) AS text FROM ids i JOIN vocab v USING (id) GROUP BY word"
 
@@ -116,17 +117,17 @@ LONG_RUN = re.compile(rb"(.{1,4}?)\1{31}", re.DOTALL)
 class Encoder:
     """Encodes and decodes pre-tokens in a DuckDB database of its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 600_000, memory: str = "200MB", threads: int = 1):
+    def __init__(self, path: str, pattern: str, cached: int = 900_000, memory: str = "200MB", threads: int = 1):
         import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.cached, self.cache = cached, {}
+        self.cached, self.ids_of, self.text_of = cached, {}, {}
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": ""})
-        a, b, rank, unsafe = merge_table(self.ranks)
-        # "one": of such places only the left-most contracts in a step; pairs of equal tokens overlap
-        self._table("merges", a=a, b=b, rank=rank, one=np.isin(rank, sorted(unsafe)) | (a == b))
+        a, b, rank, unsafe, overlap = merge_table(self.ranks)
+        one = np.isin(rank, sorted(unsafe | overlap))
+        self._table("merges", a=a, b=b, code=rank.astype(np.int64) * 2 + one, unsafe=np.isin(rank, sorted(unsafe)))
         # bytes as the characters of the same numbers: DuckDB joins strings in order, and Latin-1 gives the bytes back
         self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), text=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -136,15 +137,15 @@ class Encoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM __in")
         self.db.unregister("__in")
 
-    def words(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids as bytes, decoded bytes) of each word; what was met before is remembered, up to ``cached`` words."""
-        if len(self.cache) + len(words) > self.cached:
-            self.cache = {}
-        fresh = [w for w in words if w not in self.cache]
+    def words(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids as bytes, and decoded bytes, by word; what was met before is remembered, up to ``cached`` words."""
+        if len(self.ids_of) + len(words) > self.cached:
+            self.ids_of, self.text_of = {}, {}
+        fresh = [w for w in words if w not in self.ids_of]
         ids = self.encode([w.encode("utf-8") for w in fresh])
-        for w, i, b in zip(fresh, ids, self.decode(ids), strict=True):
-            self.cache[w] = i.astype("<u4").tobytes(), b
-        return self.cache
+        self.text_of.update(zip(fresh, self.decode(ids), strict=True))
+        self.ids_of.update(zip(fresh, [i.astype("<u4").tobytes() for i in ids], strict=True))
+        return self.ids_of, self.text_of
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; a word that is a token is that token."""
@@ -198,17 +199,13 @@ def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     """(ids as little-endian 32-bit integers, decoded bytes) of each text; ``enc`` remembers words."""
     cut, seen = cut_block(texts)
     find = enc.pattern.findall
-    split = {p: find(whole(p)) for p in seen}
-    known = enc.words(set().union(*split.values()))
-    ids_of, text_of = {}, {}
-    for p, ws in split.items():
-        if len(ws) == 1:
-            ids_of[p], text_of[p] = known[ws[0]]
-        else:
-            got = [known[w] for w in ws]
-            ids_of[p], text_of[p] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+    # letters alone, with the blank before them, are one match
+    split = {p: [" " + p] if p.isalpha() else find(whole(p)) for p in seen}
+    ids_of, text_of = enc.words(set(chain.from_iterable(split.values())))
+    ids = {p: ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws]) for p, ws in split.items()}
+    text = {p: text_of[ws[0]] if len(ws) == 1 else b"".join([text_of[w] for w in ws]) for p, ws in split.items()}
     for ps in cut:
-        yield b"".join(map(ids_of.__getitem__, ps)), b"".join(map(text_of.__getitem__, ps))
+        yield b"".join(map(ids.__getitem__, ps)), b"".join(map(text.__getitem__, ps))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -223,7 +220,7 @@ def encoder(path: str, pattern: str, cached: int) -> Encoder:
     return found
 
 
-def blocks(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str], most: int = 12_000_000) -> Iterator[list[str]]:
     """``texts`` in blocks of at most ``most`` characters; a longer one goes alone."""
     out, size = [], 0
     for t in texts:
@@ -236,7 +233,7 @@ def blocks(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 900_000) -> DataFrame:
     """The key, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _mapped(docs, key, text, run, "ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 900_000) -> DataFrame:
     """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row: what ``encode`` returns, digested where it is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
