@@ -2,37 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before every single blank that has no white space on either side; the blank is left out.
+    """``text`` cut before every single blank that has no white space on either side.
 
     No match of the pattern crosses such a place: the run before the blank holds none, and after it a new match begins
-    with the blank. So the text is the first piece followed by each other piece with a blank before it.
+    with the blank.
     """
-    cut = text.split(" ")
-    out = [cut[0]]
-    for p in cut[1:]:
-        last = out[-1]
+    out, last = [], None
+    for p in text.split(" "):
         if last and p and not last[-1].isspace() and not p[0].isspace():
+            out.append(" " + p)
+        elif last is None:
             out.append(p)
         else:
-            out[-1] = f"{last} {p}"
+            out[-1] += " " + p
+        last = out[-1]
     return out
 
 
-def cut_block(texts: list[str]) -> tuple[list[list[str]], set[str]]:
-    """``pieces`` of each text, the first of each marked by "\\0" before it, and the set of all; empty texts have none."""
-    cut = [t.split(" ") if t else [] for t in texts]
-    seen: set[str] = set().union(*cut)
-    odd = {p for p in seen if not p or p[0].isspace() or p[-1].isspace()}
-    if odd:
-        cut = [ps if odd.isdisjoint(ps) else pieces(t) for t, ps in zip(texts, cut, strict=True)]
-    for ps in cut:
-        if ps:
-            ps[0] = "\0" + ps[0]
-    return cut, set().union(*cut) if odd else seen | {ps[0] for ps in cut if ps}
+def cut_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes of the pieces of all texts, where each text's begin and the last ends, the pieces by code)."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    encoded = lists.values.dictionary_encode()
+    codes, seen = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
+    if not len(codes):
+        return codes, offsets, []
+    odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in seen])
+    first = offsets[:-1]
+    again = np.flatnonzero(np.logical_or.reduceat(odd[codes], first))
+    # pieces that begin a text have no blank before them
+    heads, at = np.unique(codes[first], return_inverse=True)
+    codes[first] = len(seen) + at
+    names = [" " + p for p in seen] + [seen[c] for c in heads]
+    if not len(again):
+        return codes, offsets, names
+    known: dict[str, int] = {}
+    parts = np.split(codes, offsets[1:-1])
+    for i in again.tolist():
+        own = [known.setdefault(p, len(names) + len(known)) for p in pieces(texts[i])] if texts[i] else []
+        parts[i] = np.array(own, np.int64)
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)]), names + list(known)
+
+
+class Spans:
+    """Byte strings end to end, to be put together by code; made of items of ``width`` bytes."""
 
+    def __init__(self, values: list[bytes], width: int = 1):
+        self.lengths = np.array([len(v) for v in values], np.int64) // width
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.data, self.width = np.frombuffer(b"".join(values), f"u{width}"), width
 
-def whole(piece: str) -> str:
-    """The text of a piece of ``cut_block``: with the blank before it unless it begins a text."""
-    return piece[1:] if piece[:1] == "\0" else " " + piece
+    def joined(self, codes: np.ndarray, offsets: np.ndarray, most: int = 1_000_000) -> Iterator[bytes]:
+        """The strings of each text's codes put together, text by text; a few texts at a time, of ``most`` items."""
+        sizes = np.r_[0, np.cumsum(self.lengths[codes])][offsets]
+        at, n = 0, len(offsets) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
+            own = codes[offsets[at] : offsets[to]]
+            lengths = self.lengths[own]
+            before = np.cumsum(lengths, dtype=np.int32)
+            before -= lengths.astype(np.int32)
+            place = np.repeat(self.starts[own] - before, lengths)
+            place += np.arange(len(place), dtype=np.int32)
+            data = self.data.take(place).tobytes()
+            ends = ((sizes[at : to + 1] - sizes[at]) * self.width).tolist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield data[a:b]
+            at = to

@@ -6,7 +6,7 @@ left-most non-overlapping places of that pair contract in one step where no voca
 (``unsafe`` ranks, found from the vocabulary itself, contract one place a step). Decoding joins ids to their bytes and
 aggregates them in order.
 
-Memory: rows come in blocks of bounded bytes, the memory of words is emptied when it would pass ``cached`` of them, and each
+Memory: rows come in blocks of bounded bytes, the memory of words drops its older half when it would pass twice ``cached`` of them, and each
 database has a memory limit. Defined cases: a null text is empty (no ids); ties and repeated rows are encoded row by row;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm._pretokens import cut_block, whole
+from pagemill.llm._pretokens import Spans, cut_block
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -117,13 +117,13 @@ LONG_RUN = re.compile(rb"(.{1,4}?)\1{31}", re.DOTALL)
 class Encoder:
     """Encodes and decodes pre-tokens in a DuckDB database of its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 900_000, memory: str = "200MB", threads: int = 1):
+    def __init__(self, path: str, pattern: str, cached: int = 600_000, memory: str = "200MB", threads: int = 1):
         import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.cached, self.ids_of, self.text_of = cached, {}, {}
+        self.cached, self.ids_of, self.text_of, self.old = cached, {}, {}, ({}, {})
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": ""})
         a, b, rank, unsafe, overlap = merge_table(self.ranks)
         one = np.isin(rank, sorted(unsafe | overlap))
@@ -138,10 +138,15 @@ class Encoder:
         self.db.unregister("__in")
 
     def words(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids as bytes, and decoded bytes, by word; what was met before is remembered, up to ``cached`` words."""
+        """Ids as bytes, and decoded bytes, by word; what was met before is remembered, up to twice ``cached`` words."""
         if len(self.ids_of) + len(words) > self.cached:
-            self.ids_of, self.text_of = {}, {}
+            self.old, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
         fresh = [w for w in words if w not in self.ids_of]
+        old_ids, old_text = self.old
+        for w in fresh:
+            if w in old_ids:
+                self.ids_of[w], self.text_of[w] = old_ids[w], old_text[w]
+        fresh = [w for w in fresh if w not in self.ids_of]
         ids = self.encode([w.encode("utf-8") for w in fresh])
         self.text_of.update(zip(fresh, self.decode(ids), strict=True))
         self.ids_of.update(zip(fresh, [i.astype("<u4").tobytes() for i in ids], strict=True))
@@ -197,15 +202,14 @@ class Encoder:
 
 def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     """(ids as little-endian 32-bit integers, decoded bytes) of each text; ``enc`` remembers words."""
-    cut, seen = cut_block(texts)
+    codes, offsets, seen = cut_block(texts)
     find = enc.pattern.findall
-    # letters alone, with the blank before them, are one match
-    split = {p: [" " + p] if p.isalpha() else find(whole(p)) for p in seen}
-    ids_of, text_of = enc.words(set(chain.from_iterable(split.values())))
-    ids = {p: ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws]) for p, ws in split.items()}
-    text = {p: text_of[ws[0]] if len(ws) == 1 else b"".join([text_of[w] for w in ws]) for p, ws in split.items()}
-    for ps in cut:
-        yield b"".join(map(ids.__getitem__, ps)), b"".join(map(text.__getitem__, ps))
+    # letters alone, but for a blank before them, are one match
+    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in seen]
+    ids_of, text_of = enc.words(set(chain.from_iterable(split)))
+    ids = Spans([ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws]) for ws in split], 4)
+    text = Spans([text_of[ws[0]] if len(ws) == 1 else b"".join([text_of[w] for w in ws]) for ws in split])
+    yield from zip(ids.joined(codes, offsets), text.joined(codes, offsets), strict=True)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -233,7 +237,7 @@ def blocks(texts: list[str], most: int = 12_000_000) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 900_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
     """The key, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _mapped(docs, key, text, run, "ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 900_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
     """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row: what ``encode`` returns, digested where it is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagemill.llm._base import new_path, settle
 from pagemill.llm._files import read_files, write_files
-from pagemill.llm._pretokens import cut_block, whole
+from pagemill.llm._pretokens import Spans, cut_block
 from pagemill.llm.bpe import blocks
 
 MAGIC = b"PMTOKEN1"
@@ -139,15 +139,15 @@ def _tokenizer(path: str) -> tuple:
 def encode_texts(texts: list[str], path: str, cached: int) -> tuple[list[bytes], int]:
     """Ids of each text as bytes, and the bytes an id takes. At most ``cached`` pieces are remembered."""
     tokenizer, cache, kind = _tokenizer(path)
-    cut, seen = cut_block(texts)
+    codes, offsets, seen = cut_block(texts)
     if len(cache) + len(seen) > cached:
         cache.clear()
     fresh = [p for p in seen if p not in cache]
     for at in range(0, len(fresh), 20_000):
         part = fresh[at : at + 20_000]
-        for p, e in zip(part, tokenizer.encode_batch_fast([whole(p) for p in part], add_special_tokens=False), strict=True):
+        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
             cache[p] = np.array(e.ids, kind).tobytes()
-    return [b"".join(map(cache.__getitem__, ps)) for ps in cut], int(kind[2])
+    return list(Spans([cache[p] for p in seen], int(kind[2])).joined(codes, offsets)), int(kind[2])
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 500_000) -> None:
@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "
         width = 2
         for batch in batches:
             names, texts, done = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
-            for some in blocks(texts, 4_000_000):
+            for some in blocks(texts, 8_000_000):
                 got, width = encode_texts(some, path, cached)
                 end = end_id.to_bytes(width, "little")
                 for name, ids in zip(names[done : done + len(some)], got, strict=True):
