@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,37 +121,71 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-_KNOWN: dict[str, tuple] = {}
+class Words:
+    """The tokenizer, and the ids of words it met: up to twice ``cached``, the older half going first."""
 
-
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer of this Python worker and what it knows of pieces; later tasks of the worker use both again."""
-    if path not in _KNOWN:
+    def __init__(self, path: str, cached: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        _KNOWN.clear()
-        _KNOWN[path] = found, {}, "<u2" if found.get_vocab_size() <= 1 << 16 else "<u4"
-    return _KNOWN[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library's byte-level pre-tokeniser cuts by this pattern
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.cached, self.known, self.old = cached, {}, {}
+
+    def ids(self, words: set[str]) -> dict[str, bytes]:
+        if len(self.known) + len(words) > self.cached:
+            self.old, self.known = self.known, {}
+        known, old, plain, rest = self.known, self.old, [], []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                elif w[0] == " " and w[1:].isalpha():
+                    plain.append(w)
+                else:
+                    rest.append(w)
+        kind = f"<u{self.width}"
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, kind).tobytes()
+        # words of a blank and letters stay apart when joined: they go to the library by the hundreds
+        for at in range(0, len(plain), 20_000):
+            parts = [plain[k : k + 500] for k in range(at, min(at + 20_000, len(plain)), 500)]
+            for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids, of = np.array(e.ids, kind).tobytes(), np.array(e.word_ids)
+                ends = (np.flatnonzero(np.diff(of, append=-1)) + 1) * self.width
+                if len(ends) != len(part):
+                    raise ValueError("the tokenizer cuts words otherwise than its pattern")
+                a = 0
+                for w, b in zip(part, ends.tolist(), strict=True):
+                    known[w] = ids[a:b]
+                    a = b
+        return known
+
+
+_WORDS: dict[tuple, Words] = {}
 
 
 def encode_texts(texts: list[str], path: str, cached: int) -> tuple[list[bytes], int]:
-    """Ids of each text as bytes, and the bytes an id takes. At most ``cached`` pieces are remembered."""
-    tokenizer, cache, kind = _tokenizer(path)
+    """Ids of each text as bytes, and the bytes an id takes. Later tasks of a Python worker use its words again."""
+    own = _WORDS.get((path, cached))
+    if own is None:
+        _WORDS.clear()
+        own = _WORDS[path, cached] = Words(path, cached)
     codes, offsets, seen = cut_block(texts)
-    if len(cache) + len(seen) > cached:
-        cache.clear()
-    fresh = [p for p in seen if p not in cache]
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, kind).tobytes()
-    return list(Spans([cache[p] for p in seen], int(kind[2])).joined(codes, offsets)), int(kind[2])
+    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else own.find(p) for p in seen]
+    known = own.ids(set(chain.from_iterable(split)))
+    spans = Spans([known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split], own.width)
+    return list(spans.joined(codes, offsets)), own.width
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 500_000) -> None:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000) -> None:
     """Write the ids of all rows, each followed by ``end_id``, to files of about ``file_ids`` ids in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
