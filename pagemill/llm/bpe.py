@@ -117,13 +117,13 @@ LONG_RUN = re.compile(rb"(.{1,4}?)\1{31}", re.DOTALL)
 class Encoder:
     """Encodes and decodes pre-tokens in a DuckDB database of its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 600_000, memory: str = "200MB", threads: int = 1):
+    def __init__(self, path: str, pattern: str, cached: int = 300_000, memory: str = "200MB", threads: int = 1):
         import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.cached, self.ids_of, self.text_of, self.old = cached, {}, {}, ({}, {})
+        self.cached, self.known, self.old = cached, {}, {}
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": ""})
         a, b, rank, unsafe, overlap = merge_table(self.ranks)
         one = np.isin(rank, sorted(unsafe | overlap))
@@ -137,20 +137,25 @@ class Encoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM __in")
         self.db.unregister("__in")
 
-    def words(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids as bytes, and decoded bytes, by word; what was met before is remembered, up to twice ``cached`` words."""
-        if len(self.ids_of) + len(words) > self.cached:
-            self.old, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
-        fresh = [w for w in words if w not in self.ids_of]
-        old_ids, old_text = self.old
-        for w in fresh:
-            if w in old_ids:
-                self.ids_of[w], self.text_of[w] = old_ids[w], old_text[w]
-        fresh = [w for w in fresh if w not in self.ids_of]
+    def words(self, words: set[str]) -> dict[str, bytes]:
+        """By word: the number of ids in four bytes, the ids in four bytes each, the decoded bytes.
+
+        What was met before is remembered, up to twice ``cached`` words, one object for each.
+        """
+        if len(self.known) + len(words) > self.cached:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        fresh = []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    fresh.append(w)
         ids = self.encode([w.encode("utf-8") for w in fresh])
-        self.text_of.update(zip(fresh, self.decode(ids), strict=True))
-        self.ids_of.update(zip(fresh, [i.astype("<u4").tobytes() for i in ids], strict=True))
-        return self.ids_of, self.text_of
+        for w, i, text in zip(fresh, ids, self.decode(ids), strict=True):
+            known[w] = len(i).to_bytes(4, "little") + i.astype("<u4").tobytes() + text
+        return known
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; a word that is a token is that token."""
@@ -206,9 +211,20 @@ def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     find = enc.pattern.findall
     # letters alone, but for a blank before them, are one match
     split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in seen]
-    ids_of, text_of = enc.words(set(chain.from_iterable(split)))
-    ids = Spans([ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws]) for ws in split], 4)
-    text = Spans([text_of[ws[0]] if len(ws) == 1 else b"".join([text_of[w] for w in ws]) for ws in split])
+    known = enc.words(set(chain.from_iterable(split)))
+    ids, text = [], []
+    for ws in split:
+        v = known[ws[0]]
+        end = 4 + 4 * int.from_bytes(v[:4], "little")
+        i, t = v[4:end], v[end:]
+        for w in ws[1:]:
+            v = known[w]
+            end = 4 + 4 * int.from_bytes(v[:4], "little")
+            i += v[4:end]
+            t += v[end:]
+        ids.append(i)
+        text.append(t)
+    ids, text = Spans(ids, 4), Spans(text)
     yield from zip(ids.joined(codes, offsets), text.joined(codes, offsets), strict=True)
 
 
@@ -237,7 +253,7 @@ def blocks(texts: list[str], most: int = 12_000_000) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 300_000) -> DataFrame:
     """The key, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _mapped(docs, key, text, run, "ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 300_000) -> DataFrame:
     """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row: what ``encode`` returns, digested where it is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
