@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pagemill.llm._kept import kept
 from pagemill.llm._pretokens import Spans, cut_block
 
 
@@ -214,10 +215,8 @@ def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     known = enc.words(set(chain.from_iterable(split)))
     ids, text = [], []
     for ws in split:
-        v = known[ws[0]]
-        end = 4 + 4 * int.from_bytes(v[:4], "little")
-        i, t = v[4:end], v[end:]
-        for w in ws[1:]:
+        i = t = b""
+        for w in ws:
             v = known[w]
             end = 4 + 4 * int.from_bytes(v[:4], "little")
             i += v[4:end]
@@ -228,19 +227,12 @@ def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     yield from zip(ids.joined(codes, offsets), text.joined(codes, offsets), strict=True)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+def encoder(path: str, pattern: str, cached: int):
+    """A context with the encoder of this Python worker, which its next tasks use again."""
+    return kept(("bpe", path, pattern, cached), lambda: Encoder(path, pattern, cached))
 
 
-def encoder(path: str, pattern: str, cached: int) -> Encoder:
-    """The encoder of this Python worker, which later tasks of the worker use again."""
-    found = _ENCODERS.get((path, pattern, cached))
-    if found is None:
-        _ENCODERS.clear()
-        found = _ENCODERS[path, pattern, cached] = Encoder(path, pattern, cached)
-    return found
-
-
-def blocks(texts: list[str], most: int = 12_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str], most: int = 6_000_000) -> Iterator[list[str]]:
     """``texts`` in blocks of at most ``most`` characters; a longer one goes alone."""
     out, size = [], 0
     for t in texts:
@@ -257,14 +249,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """The key, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern, cached)
-        for batch in batches:
-            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-            for part in blocks(texts):
-                got = list(_encoded(part, enc))
-                columns = [batch.column(0).slice(at, len(part)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"])
-                at += len(part)
+        with encoder(path, pattern, cached) as enc:
+            for batch in batches:
+                texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+                for part in blocks(texts):
+                    got = list(_encoded(part, enc))
+                    columns = [batch.column(0).slice(at, len(part)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"])
+                    at += len(part)
 
     return _mapped(docs, key, text, run, "ids binary, decoded binary")
 
@@ -273,13 +265,13 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row: what ``encode`` returns, digested where it is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern, cached)
-        for batch in batches:
-            rows = []
-            for part in blocks([t or "" for t in batch.column(1).to_pylist()]):
-                rows += [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in _encoded(part, enc)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(path, pattern, cached) as enc:
+            for batch in batches:
+                rows = []
+                for part in blocks([t or "" for t in batch.column(1).to_pylist()]):
+                    rows += [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in _encoded(part, enc)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _mapped(docs, key, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagemill.llm._base import new_path, settle
 from pagemill.llm._files import read_files, write_files
+from pagemill.llm._kept import kept
 from pagemill.llm._pretokens import Spans, cut_block
 from pagemill.llm.bpe import blocks
 
@@ -169,20 +170,13 @@ class Words:
         return known
 
 
-_WORDS: dict[tuple, Words] = {}
-
-
-def encode_texts(texts: list[str], path: str, cached: int) -> tuple[list[bytes], int]:
-    """Ids of each text as bytes, and the bytes an id takes. Later tasks of a Python worker use its words again."""
-    own = _WORDS.get((path, cached))
-    if own is None:
-        _WORDS.clear()
-        own = _WORDS[path, cached] = Words(path, cached)
+def encode_texts(texts: list[str], own: Words) -> list[bytes]:
+    """Ids of each text as bytes."""
     codes, offsets, seen = cut_block(texts)
     split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else own.find(p) for p in seen]
     known = own.ids(set(chain.from_iterable(split)))
     spans = Spans([known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split], own.width)
-    return list(spans.joined(codes, offsets)), own.width
+    return list(spans.joined(codes, offsets))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000) -> None:
@@ -195,24 +189,24 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack(part, at, keys, lengths, b"".join(held), width)], pa.binary())], ["content"])
 
-        width = 2
-        for batch in batches:
-            names, texts, done = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
-            for some in blocks(texts, 8_000_000):
-                got, width = encode_texts(some, path, cached)
-                end = end_id.to_bytes(width, "little")
-                for name, ids in zip(names[done : done + len(some)], got, strict=True):
-                    keys.append(name)
-                    lengths.append(len(ids) // width + 1)
-                    held += ids, end
-                    size += lengths[-1]
-                    if size >= file_ids:
-                        yield file()
-                        at += 1
-                        keys, lengths, held, size = [], [], [], 0
-                done += len(some)
-        if keys:
-            yield file()
+        with kept(("words", path, cached), lambda: Words(path, cached)) as own:
+            width = own.width
+            end = end_id.to_bytes(width, "little")
+            for batch in batches:
+                names, texts, done = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
+                for some in blocks(texts, 8_000_000):
+                    for name, ids in zip(names[done : done + len(some)], encode_texts(some, own), strict=True):
+                        keys.append(name)
+                        lengths.append(len(ids) // width + 1)
+                        held += ids, end
+                        size += lengths[-1]
+                        if size >= file_ids:
+                            yield file()
+                            at += 1
+                            keys, lengths, held, size = [], [], [], 0
+                    done += len(some)
+            if keys:
+                yield file()
 
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
     # the last column orders rows that repeat a key
