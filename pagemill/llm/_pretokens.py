@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Python's search for reference cycles rests: it would walk the lists of a block over and over, which hold none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+#: Pieces that begin and end with visible ASCII.
+_PLAIN_ENDS = r"(?s)\A[!-~](.*[!-~])?\z"
+
+
 def pieces(text: str) -> list[str]:
     """``text`` cut before every single blank that has no white space on either side.
 
@@ -35,7 +53,10 @@ def cut_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     codes, seen = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
     if not len(codes):
         return codes, offsets, []
-    odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in seen])
+    odd = ~np.asarray(pc.match_substring_regex(encoded.dictionary, _PLAIN_ENDS))
+    for k in np.flatnonzero(odd).tolist():  # few: other white space than ASCII's has to be told apart
+        p = seen[k]
+        odd[k] = not p or p[0].isspace() or p[-1].isspace()
     first = offsets[:-1]
     again = np.flatnonzero(np.logical_or.reduceat(odd[codes], first))
     # pieces that begin a text have no blank before them
