@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pagemill.llm._base import new_path, settle
 from pagemill.llm._files import read_files, write_files
 from pagemill.llm._kept import kept
-from pagemill.llm._pretokens import Spans, cut_block, no_cycles
+from pagemill.llm._pretokens import Spans, cut_block
 from pagemill.llm.bpe import blocks
 
 MAGIC = b"PMTOKEN1"
@@ -137,43 +138,18 @@ class Words:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached, self.known, self.old = cached, {}, {}
 
-    def ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces and the words they are made of are remembered alike."""
-        if len(self.known) + len(pieces) > self.cached:
+    def ids(self, words: set[str]) -> dict[str, bytes]:
+        if len(self.known) + len(words) > self.cached:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        out = list(map(known.get, pieces))
-        fresh, split = set(), []
-        for k, v in enumerate(out):
-            if v is not None:
-                continue
-            p = pieces[k]
-            v = old.get(p)
-            if v is not None:
-                out[k] = known[p] = v
-            elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):  # letters alone, but for a blank before them, are one match
-                fresh.add(p)
-                split.append((k, p, None))
-            else:
-                words = self.find(p)
-                for w in words:
-                    if w not in known:
-                        if w in old:
-                            known[w] = old[w]
-                        else:
-                            fresh.add(w)
-                split.append((k, p, words))
-        self._encode(fresh)
-        for k, p, words in split:
-            if words is not None:
-                known[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-            out[k] = known[p]
-        return out
-
-    def _encode(self, words: set[str]) -> None:
-        known, plain, rest = self.known, [], []
+        known, old, plain, rest = self.known, self.old, [], []
         for w in words:
-            (plain if w[0] == " " and w[1:].isalpha() else rest).append(w)
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                elif w[0] == " " and w[1:].isalpha():
+                    plain.append(w)
+                else:
+                    rest.append(w)
         kind = f"<u{self.width}"
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
@@ -191,13 +167,15 @@ class Words:
                 for w, b in zip(part, ends.tolist(), strict=True):
                     known[w] = ids[a:b]
                     a = b
+        return known
 
 
 def encode_texts(texts: list[str], own: Words) -> list[bytes]:
     """Ids of each text as bytes."""
-    with no_cycles():
-        codes, offsets, seen = cut_block(texts)
-        spans = Spans(own.ids(seen), own.width)
+    codes, offsets, seen = cut_block(texts)
+    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else own.find(p) for p in seen]
+    known = own.ids(set(chain.from_iterable(split)))
+    spans = Spans([known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split], own.width)
     return list(spans.joined(codes, offsets))
 
 
