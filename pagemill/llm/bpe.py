@@ -118,7 +118,7 @@ LONG_RUN = re.compile(rb"(.{1,4}?)\1{31}", re.DOTALL)
 class Encoder:
     """Encodes and decodes pre-tokens in a DuckDB database of its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 300_000, memory: str = "200MB", threads: int = 1):
+    def __init__(self, path: str, pattern: str, cached: int = 600_000, memory: str = "200MB", threads: int = 1):
         import duckdb
         import regex
 
@@ -232,7 +232,7 @@ def encoder(path: str, pattern: str, cached: int):
     return kept(("bpe", path, pattern, cached), lambda: Encoder(path, pattern, cached))
 
 
-def blocks(texts: list[str], most: int = 6_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str], most: int) -> Iterator[list[str]]:
     """``texts`` in blocks of at most ``most`` characters; a longer one goes alone."""
     out, size = [], 0
     for t in texts:
@@ -245,14 +245,14 @@ def blocks(texts: list[str], most: int = 6_000_000) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000, block_chars: int = 10_000_000) -> DataFrame:
     """The key, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(path, pattern, cached) as enc:
             for batch in batches:
                 texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-                for part in blocks(texts):
+                for part in blocks(texts, block_chars):
                     got = list(_encoded(part, enc))
                     columns = [batch.column(0).slice(at, len(part)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"])
@@ -261,14 +261,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _mapped(docs, key, text, run, "ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", cached: int = 600_000, block_chars: int = 10_000_000) -> DataFrame:
     """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row: what ``encode`` returns, digested where it is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(path, pattern, cached) as enc:
             for batch in batches:
                 rows = []
-                for part in blocks([t or "" for t in batch.column(1).to_pylist()]):
+                for part in blocks([t or "" for t in batch.column(1).to_pylist()], block_chars):
                     rows += [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in _encoded(part, enc)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
