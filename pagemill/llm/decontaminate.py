@@ -1,10 +1,14 @@
 """Benchmark decontamination by template windows.
 
 Texts become sequences of canonical tokens: numbers, names (capitalised words inside a sentence) and units (after a number)
-are typed placeholders, all else lower-case words. Windows of ``window`` tokens of a benchmark item and of a document meet
-by hash. Along each alignment of the two, the placeholders must map one to one: the same number, name or unit of the item is
-always the same one of the document and the other way round. A document holds an item where consistent windows cover
-``share`` of the item's, so questions with other numbers and names are found as well.
+are typed placeholders, all else lower-case words. Names next to each other are one placeholder, as are number parts, so it
+does not matter how many words a name has. Windows of ``window`` tokens of a benchmark item and of a document meet by hash.
+The placeholders must map one to one: the same number, name or unit of the item is always the same one of the document and
+the other way round. A document holds an item where consistent windows, on whatever alignments, cover ``share`` of the
+item's, so questions with other numbers and names, or with a word more or less, are found as well.
+
+Along an alignment windows are taken in order, and the first to name a placeholder decides. The mapping of each alignment is
+tried, the other alignments' windows being added to it where they agree, those with the most windows first.
 
 The benchmark is the query set: it comes in blocks of at most ``block_windows`` windows, each broadcast and held against all
 rows, so memory is bounded however large it is. Items with equal text count as one, under the smallest id.
@@ -41,6 +45,10 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;\n\"()")] = True
+#: What may stand between the parts of a number and of a name.
+_APART = {1: np.ones(256, np.uint8), 2: np.ones(256, np.uint8)}
+_APART[1][list(b" \t'")] = 0
+_APART[2][list(b" \t'-")] = 0
 
 
 @dataclass
@@ -90,12 +98,37 @@ def tokens(texts: list[str]) -> Tokens:
     after = np.r_[False, (kind[:-1] == 1) & (text[1:] == text[:-1])] & (kind == 0)
     at = np.flatnonzero(after)
     kind[at[_among(value[at], _UNITS)]] = 3
+    heads = np.r_[True, ~_continues(data, first, end, text, kind)]
+    if not heads.all():
+        at = np.flatnonzero(heads)
+        value = _chained(value, heads, at)
+        text, kind = text[at], kind[at]
     return Tokens(text, kind, np.choose(kind, [value, _NUMBER, _NAME, _UNIT]), value)
 
 
 _C = 0xC2B2AE3D27D4EB4F
 
 
+def _continues(data: np.ndarray, first: np.ndarray, end: np.ndarray, text: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """For each token but the first, whether it is a further part of the number or name before it."""
+    out = (text[1:] == text[:-1]) & (kind[1:] == kind[:-1])
+    for k, apart in _APART.items():
+        at = np.flatnonzero(out & (kind[1:] == k))
+        if len(at):
+            seen = np.r_[0, np.cumsum(apart[data], dtype=np.int64)]
+            out[at] = seen[first[at + 1]] == seen[end[at]]
+    return out & ((kind[1:] == 1) | (kind[1:] == 2))
+
+
+def _chained(value: np.ndarray, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A value for each head, made of its own and those of the parts that follow it, in order."""
+    out, group = value[at], np.cumsum(heads) - 1
+    with np.errstate(over="ignore"):
+        for k in np.flatnonzero(~heads).tolist():
+            out[group[k]] = out[group[k]] * np.uint64(_C) + value[k]
+    return out
+
+
 def windows(t: Tokens, length: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(first token, hash) of the windows of ``length`` tokens inside one text and with words enough."""
     n = len(t.code)
@@ -133,9 +166,9 @@ class Block:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.hashes >> np.uint64(44)] = True
 
-    def met(self, t: Tokens) -> list[tuple[int, int, int, int, bool]]:
-        """(text, item, consistent windows, all windows of the item, whether a placeholder differs), the best alignment of each."""
-        pairs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    def met(self, t: Tokens, share: float) -> list[tuple[int, int, int, int, bool]]:
+        """(text, item, consistent windows, all windows of the item, whether a placeholder differs) where ``share`` is reached."""
+        pairs: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for length in sorted({int(x) for x in self.lengths if x}):
             at, h = windows(t, length)
             some = self.bits[h >> np.uint64(44)]
@@ -144,31 +177,63 @@ class Block:
             for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
                 for i, q, _ in self.places[x]:
                     if self.lengths[i] == length:
-                        pairs.setdefault((int(t.text[p]), i, p - q), []).append((p, q))
-        best: dict[tuple[int, int], tuple[int, bool]] = {}
-        for (text, i, _), places in pairs.items():
-            n, differs = self._consistent(t, i, places)
-            if n > best.get((text, i), (0, False))[0]:
-                best[text, i] = n, differs
-        return [(text, i, n, int(self.n_windows[i]), d) for (text, i), (n, d) in best.items()]
-
-    def _consistent(self, t: Tokens, item: int, places: list[tuple[int, int]]) -> tuple[int, bool]:
-        """How many windows of an alignment, taken in order, keep placeholders one to one; whether any differs."""
-        length, there, back, n, differs = int(self.lengths[item]), {}, {}, 0, False
-        for p, q in places:
-            kinds = self.tokens.kind[q : q + length]
-            slots = np.flatnonzero(kinds)
-            pairs = [(int(kinds[s]), int(self.tokens.value[q + s]), int(t.value[p + s])) for s in slots.tolist()]
-            own_there, own_back = {}, {}
-            for kind, a, b in pairs:
-                if there.get((kind, a), b) != b or back.get((kind, b), a) != a or own_there.setdefault((kind, a), b) != b or own_back.setdefault((kind, b), a) != a:
-                    break
-            else:
-                there |= own_there
-                back |= own_back
-                differs = differs or any(a != b for _, a, b in pairs)
-                n += 1
-        return n, differs
+                        pairs.setdefault((int(t.text[p]), i), {}).setdefault(p - q, []).append((p, q))
+        out = []
+        for (text, i), alignments in pairs.items():
+            of = int(self.n_windows[i])
+            # all windows together cannot do with less
+            if len({q for places in alignments.values() for _, q in places}) >= share * of:
+                n, differs = self._covered(t, i, list(alignments.values()))
+                if n >= share * of:
+                    out.append((text, i, n, of, differs))
+        return out
+
+    def _covered(self, t: Tokens, item: int, alignments: list[list[tuple[int, int]]]) -> tuple[int, bool]:
+        """How many windows of an item the alignments cover under one mapping, the best one tried; whether a placeholder differs."""
+        length, own, seen = int(self.lengths[item]), [], set()
+        for places in alignments:
+            found = []
+            for p, q in places:
+                slots = np.flatnonzero(self.tokens.kind[q : q + length])
+                found.append((q, tuple((int(self.tokens.kind[q + s]), int(self.tokens.value[q + s]), int(t.value[p + s])) for s in slots.tolist())))
+            # a passage that is there again adds nothing
+            if (key := tuple(found)) not in seen:
+                seen.add(key)
+                own.append((len(_agreeing(found, {}, {})[0]), found))
+        own = [found for _, found in sorted(own, key=lambda x: -x[0])]
+        full, best, tried = len({q for found in own for q, _ in found}), (0, False), set()
+        for first in own:
+            there, back = {}, {}
+            covered, differs = _agreeing(first, there, back)
+            if (key := frozenset(there.items())) in tried:
+                continue
+            tried.add(key)
+            for found in own:
+                if found is not first:
+                    more, other = _agreeing(found, there, back)
+                    differs = differs or (other and not more <= covered)
+                    covered |= more
+            if len(covered) > best[0]:
+                best = len(covered), differs
+            if len(covered) == full:
+                break
+        return best
+
+
+def _agreeing(found: list[tuple[int, tuple]], there: dict, back: dict) -> tuple[set[int], bool]:
+    """The windows that, taken in order, keep the mapping one to one, which they add to; whether any placeholder differs."""
+    covered, differs = set(), False
+    for q, pairs in found:
+        own_there, own_back = {}, {}
+        for kind, a, b in pairs:
+            if there.get((kind, a), b) != b or back.get((kind, b), a) != a or own_there.setdefault((kind, a), b) != b or own_back.setdefault((kind, b), a) != a:
+                break
+        else:
+            there |= own_there
+            back |= own_back
+            differs = differs or any(a != b for _, a, b in pairs)
+            covered.add(q)
+    return covered, differs
 
 
 def query_blocks(benchmark: DataFrame, key: str, text: str, window: int, most: int) -> Iterator[Block]:
@@ -199,7 +264,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             for batch in batches:
                 texts, found = [x or "" for x in batch.column(1).to_pylist()], []
                 for at, part in blocks(texts):
-                    found += [(at + d, block.ids[i], n, of, changed) for d, i, n, of, changed in block.met(tokens(part)) if n >= share * of]
+                    found += [(at + d, block.ids[i], n, of, changed) for d, i, n, of, changed in block.met(tokens(part), share)]
                 if found:
                     d, *rest = zip(*found, strict=True)
                     own = [batch.column(c).take(pa.array(d, pa.int64())) for c in (0, 2)]

@@ -111,6 +111,23 @@ def test_op2_templates_slots_and_blocks(spark, edge, empty):
     assert decontaminate.drop_leaks(edge, bench.limit(0)).count() == len(EDGE)
 
 
+def test_op2_other_lengths_of_names_and_numbers(spark):
+    q = "At the market in the old town the baker Tom sold 1000 rolls to a trader from Paris who then walked along the river until the evening came and gave half of them to the children of the miller while Tom counted all the coins that were left in the small box under the table near the door."
+    bench = spark.createDataFrame([(1, q)], "item_id long, text string")
+    words = q.split()
+    variants = [
+        q.replace("Tom", "Mary Ann"), q.replace("Paris", "New York"), q.replace("1000", "2 500"), q.replace("Tom", "Anna Maria Schmidt").replace("Paris", "Rio").replace("1000", "7"),
+        " ".join([*words[:28], "slowly", *words[28:]]), " ".join([*words[:28], *words[29:]]), " ".join([*words[:28], "slowly", *words[28:]]).replace("Tom", "Jean-Paul"),
+    ]
+    docs = spark.createDataFrame([(k, f"So it goes. {v} And on.") for k, v in enumerate(variants)], "doc_id long, text string")
+    got = rows(decontaminate.report(docs, bench))
+    assert set(got) == set(range(len(variants))) and [got[k]["changed"] for k in range(len(variants))] == [True] * 4 + [False] * 2 + [True]
+    # on both sides of the word put in there must be one mapping
+    two = [" ".join([*words[:28], "slowly", *words[28:]]).replace("Tom", n, 1) for n in ("Tom", "Igor")]
+    held = rows(decontaminate.report(spark.createDataFrame(list(enumerate(two)), "doc_id long, text string"), bench))
+    assert held[0]["windows"] > (held[1]["windows"] if 1 in held else 0)
+
+
 # 3
 def levenshtein_one(a, b):
     if abs(len(a) - len(b)) > 1:
