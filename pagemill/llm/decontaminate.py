@@ -13,8 +13,10 @@ tried, the other alignments' windows being added to it where they agree, those w
 The benchmark is the query set: it comes in blocks of at most ``block_windows`` windows, each broadcast and held against all
 rows, so memory is bounded however large it is. Items with equal text count as one, under the smallest id.
 
-Items shorter than a window count as one window of their own length. Windows need a word besides placeholders for every two
-tokens. Defined cases: null texts hold nothing and are held by nothing, as are items without tokens; ties and repeated rows
+Items shorter than a window count as one window of their own length. Windows with other placeholders need a word for every two
+tokens; verbatim, in upper or lower case and whatever the tokens' kinds are in the document, all windows count. So ``share``
+must be reached of the windows with words enough or of all. A word that begins a window may stand as a name in the document,
+where nothing tells that a sentence begins. Defined cases: null texts hold nothing and are held by nothing, as are items without tokens; ties and repeated rows
 are judged row by row; an empty documents table gives an empty result, an empty benchmark none either; other columns are
 ignored by ``leaks`` and pass through ``drop_leaks``.
 """
@@ -53,12 +55,20 @@ _APART[2][list(b" \t'-")] = 0
 
 @dataclass
 class Tokens:
-    """Canonical tokens of some texts: ``kind`` (0 word, 1 number, 2 name, 3 unit), ``code`` as compared, ``value`` as written."""
+    """Canonical tokens of some texts: ``kind`` (0 word, 1 number, 2 name, 3 unit), ``code`` as compared, ``value`` as written.
+
+    They are made of parts, those of token k from ``at[k]`` on; ``sums`` and ``part_sums`` are for the hashes of their runs.
+    """
 
     text: np.ndarray
     kind: np.ndarray
     code: np.ndarray
     value: np.ndarray
+    at: np.ndarray
+    part_text: np.ndarray
+    part_value: np.ndarray
+    sums: np.ndarray
+    part_sums: np.ndarray
 
 
 def _unit_hashes() -> np.ndarray:
@@ -86,7 +96,8 @@ def tokens(texts: list[str]) -> Tokens:
     text = np.searchsorted(starts, first, "right") - 1
     kind = np.zeros(len(first), np.int8)
     if not len(first):
-        return Tokens(text, kind, value, value)
+        none = np.zeros(1, np.uint64)
+        return Tokens(text, kind, value, value, np.zeros(1, np.int64), text, value, none, none)
     kind[digit[first]] = 1
     stops = np.r_[0, np.cumsum(_STOP[data])]
     gap_from = np.r_[0, end[:-1]]
@@ -98,15 +109,33 @@ def tokens(texts: list[str]) -> Tokens:
     after = np.r_[False, (kind[:-1] == 1) & (text[1:] == text[:-1])] & (kind == 0)
     at = np.flatnonzero(after)
     kind[at[_among(value[at], _UNITS)]] = 3
-    heads = np.r_[True, ~_continues(data, first, end, text, kind)]
-    if not heads.all():
-        at = np.flatnonzero(heads)
-        value = _chained(value, heads, at)
-        text, kind = text[at], kind[at]
-    return Tokens(text, kind, np.choose(kind, [value, _NUMBER, _NAME, _UNIT]), value)
+    at = np.r_[np.flatnonzero(np.r_[True, ~_continues(data, first, end, text, kind)]), len(first)]
+    part_text, part_value, part_sums = text, value, _sums(value)
+    text, kind = text[at[:-1]], kind[at[:-1]]
+    value = np.where(np.diff(at) > 1, mix(_run(part_sums, at[:-1], at[1:])), value[at[:-1]])
+    code = np.choose(kind, [value, _NUMBER, _NAME, _UNIT])
+    return Tokens(text, kind, code, value, at, part_text, part_value, _sums(code), part_sums)
 
 
 _C = 0xC2B2AE3D27D4EB4F
+_powers = {x: np.ones(1, np.uint64) for x in (_C, pow(_C, -1, 1 << 64))}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers of ``base`` from 0 to ``n``."""
+    if len(_powers[base]) <= n:
+        with np.errstate(over="ignore"):
+            _powers[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 18), base, np.uint64)])
+    return _powers[base][: n + 1]
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    return np.r_[np.uint64(0), np.cumsum(codes * _power(_C, len(codes))[:-1], dtype=np.uint64)]
+
+
+def _run(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of codes, from their sums, in which the first code's weight is one."""
+    return (sums[end] - sums[first]) * _power(pow(_C, -1, 1 << 64), len(sums))[first]
 
 
 def _continues(data: np.ndarray, first: np.ndarray, end: np.ndarray, text: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -120,27 +149,27 @@ def _continues(data: np.ndarray, first: np.ndarray, end: np.ndarray, text: np.nd
     return out & ((kind[1:] == 1) | (kind[1:] == 2))
 
 
-def _chained(value: np.ndarray, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A value for each head, made of its own and those of the parts that follow it, in order."""
-    out, group = value[at], np.cumsum(heads) - 1
-    with np.errstate(over="ignore"):
-        for k in np.flatnonzero(~heads).tolist():
-            out[group[k]] = out[group[k]] * np.uint64(_C) + value[k]
-    return out
-
-
-def windows(t: Tokens, length: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of the windows of ``length`` tokens inside one text and with words enough."""
+def windows(t: Tokens, length: int, named: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of the windows of ``length`` tokens inside one text and with words enough; ``named``: of those that begin with a name, it being taken as a word."""
     n = len(t.code)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n - length + 1, np.uint64)
-        for k in range(length):
-            h = h * np.uint64(_C) + t.code[k : n - length + 1 + k]
     words = np.r_[0, np.cumsum(t.kind == 0)]
-    ok = (t.text[: n - length + 1] == t.text[length - 1 :]) & (2 * (words[length:] - words[:-length]) >= length)
-    return np.flatnonzero(ok), mix(h[ok])
+    ok = (t.text[: n - length + 1] == t.text[length - 1 :]) & (2 * (words[length:] - words[:-length] + named) >= length)
+    at = np.flatnonzero(ok & (t.kind[: n - length + 1] == 2) if named else ok)
+    h = _run(t.sums, at, at + length)
+    if named:
+        h += t.part_value[t.at[at + 1] - 1] - t.code[at]
+    return at, mix(h)
+
+
+def passages(t: Tokens, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, hash of the values) of the runs of ``parts`` parts inside one text."""
+    n = len(t.part_value)
+    if n < parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(t.part_text[: n - parts + 1] == t.part_text[parts - 1 :])
+    return at, mix(_run(t.part_sums, at, at + parts))
 
 
 class Block:
@@ -152,7 +181,9 @@ class Block:
         self.tokens = tokens([t for _, t in items])
         counts = np.bincount(self.tokens.text, minlength=len(items)) if items else np.zeros(0, np.int64)
         self.lengths = np.minimum(counts, window)
-        self.n_windows = np.zeros(len(items), np.int64)
+        self.n_worded = np.zeros(len(items), np.int64)
+        self.n_windows = np.where(counts > 0, counts - self.lengths + 1, 0)
+        self.worded: set[int] = set()
         self.places: dict[int, list[tuple[int, int, int]]] = {}
         first = np.cumsum(counts) - counts
         for length in sorted({int(x) for x in self.lengths if x}):
@@ -161,47 +192,82 @@ class Block:
             own = self.lengths[item] == length
             for p, x, i in zip(at[own].tolist(), h[own].tolist(), item[own].tolist(), strict=True):
                 self.places.setdefault(x, []).append((i, p, p - int(first[i])))
-            self.n_windows += np.bincount(item[own], minlength=len(items))
+            self.n_worded += np.bincount(item[own], minlength=len(items))
+            self.worded |= set(at[own].tolist())
         self.hashes = np.array(sorted(self.places), np.uint64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.hashes >> np.uint64(44)] = True
+        # every window's parts as written: (hash, its first token), by their number
+        self.written: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        t, q = self.tokens, np.arange(len(self.tokens.text))
+        inside = q - first[t.text] < self.n_windows[t.text] if len(q) else np.zeros(0, bool)
+        q = q[inside]
+        from_, to = t.at[q], t.at[q + self.lengths[t.text[q]]]
+        h = mix(_run(t.part_sums, from_, to))
+        for parts in np.unique(to - from_).tolist():
+            own = np.flatnonzero(to - from_ == parts)
+            own = own[np.argsort(h[own], kind="stable")]
+            self.written[parts] = h[own], q[own]
+        self.written_bits = np.zeros(1 << 20, bool)
+        self.written_bits[h >> np.uint64(44)] = True
 
     def met(self, t: Tokens, share: float) -> list[tuple[int, int, int, int, bool]]:
-        """(text, item, consistent windows, all windows of the item, whether a placeholder differs) where ``share`` is reached."""
-        pairs: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-        for length in sorted({int(x) for x in self.lengths if x}):
-            at, h = windows(t, length)
-            some = self.bits[h >> np.uint64(44)]
+        """(text, item, consistent windows, windows of the item, whether a placeholder differs) where ``share`` is reached."""
+        pairs: dict[tuple[int, int], dict[int | None, list[tuple[int | None, int]]]] = {}
+        for parts, (own, places) in self.written.items():
+            at, h = passages(t, parts)
+            some = self.written_bits[h >> np.uint64(44)]
             at, h = at[some], h[some]
-            hit = _among(h, self.hashes)
-            for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                for i, q, _ in self.places[x]:
-                    if self.lengths[i] == length:
-                        pairs.setdefault((int(t.text[p]), i), {}).setdefault(p - q, []).append((p, q))
+            hit = _among(h, own)
+            at, h = at[hit], h[hit]
+            for p, a, b in zip(at.tolist(), np.searchsorted(own, h).tolist(), np.searchsorted(own, h, "right").tolist(), strict=True):
+                for q in places[a:b].tolist():
+                    pairs.setdefault((int(t.part_text[p]), int(self.tokens.text[q])), {}).setdefault(None, []).append((None, q))
+        for length in sorted({int(x) for x in self.lengths if x}):
+            for named in (False, True):
+                at, h = windows(t, length, named)
+                some = self.bits[h >> np.uint64(44)]
+                at, h = at[some], h[some]
+                hit = _among(h, self.hashes)
+                for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+                    for i, q, _ in self.places[x]:
+                        if self.lengths[i] == length:
+                            pairs.setdefault((int(t.text[p]), i), {}).setdefault(p - q, []).append((p, q))
         out = []
         for (text, i), alignments in pairs.items():
-            of = int(self.n_windows[i])
             # all windows together cannot do with less
-            if len({q for places in alignments.values() for _, q in places}) >= share * of:
-                n, differs = self._covered(t, i, list(alignments.values()))
-                if n >= share * of:
-                    out.append((text, i, n, of, differs))
+            if self._reaches({q for places in alignments.values() for _, q in places}, i, share):
+                covered, differs = self._covered(t, i, alignments)
+                if held := self._reaches(covered, i, share):
+                    out.append((text, i, *held, differs))
         return out
 
-    def _covered(self, t: Tokens, item: int, alignments: list[list[tuple[int, int]]]) -> tuple[int, bool]:
-        """How many windows of an item the alignments cover under one mapping, the best one tried; whether a placeholder differs."""
+    def _reaches(self, covered: set[int], item: int, share: float) -> tuple[int, int] | None:
+        """(windows covered, windows of the item), of those with words enough or else of all, where they are ``share`` of them."""
+        of, n = int(self.n_worded[item]), len(covered & self.worded)
+        if n and n >= share * of:
+            return n, of
+        of, n = int(self.n_windows[item]), len(covered)
+        return (n, of) if n >= share * of else None
+
+    def _covered(self, t: Tokens, item: int, alignments: dict[int | None, list[tuple[int | None, int]]]) -> tuple[set[int], bool]:
+        """The windows of an item that the alignments cover under one mapping, the best one tried; whether a placeholder differs.
+
+        The windows found as written, under None, map placeholders to themselves.
+        """
         length, own, seen = int(self.lengths[item]), [], set()
-        for places in alignments:
+        share = lambda covered: max(len(covered) / max(1, self.n_windows[item]), len(covered & self.worded) / max(1, self.n_worded[item]))
+        for offset, places in alignments.items():
             found = []
-            for p, q in places:
+            for p, q in sorted(set(places), key=lambda x: x[1]) if offset is None else sorted(places):
                 slots = np.flatnonzero(self.tokens.kind[q : q + length])
-                found.append((q, tuple((int(self.tokens.kind[q + s]), int(self.tokens.value[q + s]), int(t.value[p + s])) for s in slots.tolist())))
+                found.append((q, tuple((int(self.tokens.kind[q + s]), int(self.tokens.value[q + s]), int((self.tokens.value[q + s] if p is None else t.value[p + s]))) for s in slots.tolist())))
             # a passage that is there again adds nothing
             if (key := tuple(found)) not in seen:
                 seen.add(key)
                 own.append((len(_agreeing(found, {}, {})[0]), found))
         own = [found for _, found in sorted(own, key=lambda x: -x[0])]
-        full, best, tried = len({q for found in own for q, _ in found}), (0, False), set()
+        full, best, tried = len({q for found in own for q, _ in found}), (set(), False), set()
         for first in own:
             there, back = {}, {}
             covered, differs = _agreeing(first, there, back)
@@ -213,8 +279,8 @@ class Block:
                     more, other = _agreeing(found, there, back)
                     differs = differs or (other and not more <= covered)
                     covered |= more
-            if len(covered) > best[0]:
-                best = len(covered), differs
+            if share(covered) > share(best[0]):
+                best = covered, differs
             if len(covered) == full:
                 break
         return best

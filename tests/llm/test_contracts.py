@@ -128,6 +128,20 @@ def test_op2_other_lengths_of_names_and_numbers(spark):
     assert held[0]["windows"] > (held[1]["windows"] if 1 in held else 0)
 
 
+def test_op2_poor_windows_and_short_items(spark):
+    items = [
+        "Compute 12 + 7 * 3 - 45 / 9 + 81.", "Who wrote the book about white whales?", "Anna Karl Otto Fritz, Berta Emil, 12 19 44 Hans 7 Ida 9 Jan 5 Kurt 3 Lena 8", "Mary Ann Smith owns 12 Ford Escorts",
+        "Tell us Who of the Five Great Kings Of The North Led His Men Over The River To The West In 1204 And Came Back In 1210", "How many days did the 3 ships sail?",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [f"they asked {t} and then more" for t in items] + [f"It is said. {t.upper() if k != 3 else t.lower()}" for k, t in enumerate(items)]
+    other = ["they asked How many days did the 9 ships sail? in vain", "Compute 12 + 8 * 3 - 45 / 9 + 81.", "Anna Karl Uwe Fritz, Berta Udo, 12 19 45 Hans 8 Ida 1 Jan 2 Kurt 4 Lena 6"]
+    frame = spark.createDataFrame(list(enumerate(docs + other)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontaminate.report(frame, bench).collect()}
+    assert got == {(k, k % 6): False for k in range(12)} | {(12, 5): True}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, bench, block_windows=1).collect()} == set(got)
+
+
 # 3
 def levenshtein_one(a, b):
     if abs(len(a) - len(b)) > 1:
