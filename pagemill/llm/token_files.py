@@ -8,6 +8,8 @@ to u takes about n * (2 + log2(u / n)) bits; every 256th set bit of its upper pa
 Layout, little-endian: "PMTOKEN1"; eight u64 (part, sequence in the part, documents, of these with null key, ids, bytes an
 id, bytes of the key sequence, first key as i64); end sequence; key sequence; ids; a line feed.
 
+The strings of the tokenizer's added tokens are ordinary text, or with ``added`` one id each, as the library has it by default.
+
 Defined cases: a null text is empty (the end id only); null keys come first; ties and repeated rows stand next to each
 other; an empty table gives no files and an empty result; other columns are ignored.
 """
@@ -125,14 +127,23 @@ class TokenFile:
 class Words:
     """The tokenizer, and the ids of words it met: up to twice ``cached``, the older half going first."""
 
-    def __init__(self, path: str, cached: int):
+    def __init__(self, path: str, cached: int, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words hold no added token's string but as ordinary text
+        #: The id of each added token by its string, and what cuts a text at them: text and strings in turn.
+        self.added, self.cut = {}, None
+        if added:
+            found = self.tokenizer.get_added_tokens_decoder()
+            if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in found.values()):
+                raise ValueError("added tokens that look at the text around them are not known")
+            self.added = {x.content: i for i, x in found.items()}
+            if self.added:
+                self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         # the library's byte-level pre-tokeniser cuts by this pattern
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -172,6 +183,14 @@ class Words:
 
 def encode_texts(texts: list[str], own: Words) -> list[bytes]:
     """Ids of each text as bytes."""
+    if any(x in t for x in own.added for t in texts):
+        cut = [own.cut(t) for t in texts]
+        encoded = iter(_encode_words([x for parts in cut for x in parts[::2]], own))
+        return [b"".join([own.added[x].to_bytes(own.width, "little") if k % 2 else next(encoded) for k, x in enumerate(parts)]) for parts in cut]
+    return _encode_words(texts, own)
+
+
+def _encode_words(texts: list[str], own: Words) -> list[bytes]:
     codes, offsets, seen = cut_block(texts)
     split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else own.find(p) for p in seen]
     known = own.ids(set(chain.from_iterable(split)))
@@ -179,7 +198,7 @@ def encode_texts(texts: list[str], own: Words) -> list[bytes]:
     return list(spans.joined(codes, offsets))
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000) -> None:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000, added: bool = False) -> None:
     """Write the ids of all rows, each followed by ``end_id``, to files of about ``file_ids`` ids in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +208,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack(part, at, keys, lengths, b"".join(held), width)], pa.binary())], ["content"])
 
-        with kept(("words", path, cached), lambda: Words(path, cached)) as own:
+        with kept(("words", path, cached, added), lambda: Words(path, cached, added)) as own:
             width = own.width
             end = end_id.to_bytes(width, "little")
             for batch in batches:
@@ -236,8 +255,8 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     return rows.join(before, ["part", "at"]).select(F.col("key").alias(key), (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Write the files of ``docs`` to the shared folder and read them back."""
     folder = new_path(docs.sparkSession, "tokens")
-    write(docs, path, folder, end_id, key, text)
+    write(docs, path, folder, end_id, key, text, added=added)
     return read(docs.sparkSession, folder, key)

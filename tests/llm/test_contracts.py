@@ -466,6 +466,20 @@ def test_op10_files(spark, sf, docs, edge, empty):
     assert token_files.round_trip(empty, path).collect() == []
 
 
+def test_op10_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", "plain words", end, end * 3, f"x{end}y", f" {end}\n {end} ", "<|endoftext|", "<|ENDOFTEXT|> x", f"le  café{end} 日本 <|endof{end}text|>", "", "a <|endoftext |> b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, start = rows(queries.op10_token_files(spark, str(tmp_path))), 0
+    for d, t in enumerate(texts):
+        ids = [*own.encode(t, add_special_tokens=False).ids, 2]
+        assert tuple(got[d]) == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
 def test_op10_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 0), (1, 10**12), (5, 3), (1000, 10), (1000, 10**9), (3000, 4000), (700, 2**62)):
