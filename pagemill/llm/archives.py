@@ -133,12 +133,12 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(url: str, date: str, page_id: int | None, http: bytes, payload: bytes, digest: str, original: int | None) -> bytes:
-    """The WARC record for an ARC record; ``original`` is the page it revisits, if any."""
+def convert(url: str, date: str, page_id: int | None, http: bytes, payload: bytes, digest: str, original: int | None, original_url: str | None = None, original_date: str | None = None) -> bytes:
+    """The WARC record for an ARC record; ``original`` is the page it revisits, if any, with that record's URL and date."""
     own = record_id(page_id, url, date, digest)
     about = {"WARC_Record_ID": own, "WARC_Date": iso_date(date), "WARC_Target_URI": url, "WARC_Payload_Digest": digest}
     if original is not None:
-        more = {"WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC_Refers_To": record_id(original, digest), "Content_Type": "application/http; msgtype=response"}
+        more = {"WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC_Refers_To": record_id(original, original_url, original_date, digest), "WARC_Refers_To_Target_URI": original_url, "WARC_Refers_To_Date": iso_date(original_date), "Content_Type": "application/http; msgtype=response"}
         return warc_record("revisit", http, **about, **more)
     return warc_record("response" if http else "resource", http + payload, **about, Content_Type="application/http; msgtype=response" if http else "text/html")
 
@@ -218,8 +218,9 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
 
 def arc_to_warc(spark: SparkSession, arcs: str, folder: str, least: int = 1000) -> None:
     """Convert all ARC files of ``arcs`` to gzipped WARC files in ``folder``."""
-    seen = settle(read_arc(spark, arcs, payloads=False).select("page_id", "digest", "size"), "arc-index")
-    groups = seen.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    seen = settle(read_arc(spark, arcs, payloads=False).select("page_id", "url", "date", "digest", "size"), "arc-index")
+    groups = seen.filter(F.col("size") >= least).groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("o"), F.count("*").alias("n"))
+    groups = groups.select("digest", "n", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"), F.col("o.date").alias("original_date"))
     groups = settle(groups.filter("n > 1 and original is not null"), "arc-groups")
     records = lookup_salted(read_arc(spark, arcs), groups, "digest", "n")
     # the page that is the largest itself does not revisit
@@ -228,13 +229,13 @@ def arc_to_warc(spark: SparkSession, arcs: str, folder: str, least: int = 1000)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[bytes]:
             for batch in batches:
-                for url, date, page, http, payload, digest, original in zip(*batch.columns, strict=True):
-                    yield convert(url.as_py(), date.as_py(), page.as_py(), http.as_py(), payload.as_py(), digest.as_py(), original.as_py())
+                for url, date, page, http, payload, digest, original, original_url, original_date in zip(*batch.columns, strict=True):
+                    yield convert(url.as_py(), date.as_py(), page.as_py(), http.as_py(), payload.as_py(), digest.as_py(), original.as_py(), original_url.as_py(), original_date.as_py())
 
         info = warc_record("warcinfo", b"software: pagemill\r\nformat: WARC File Format 1.1\r\n", WARC_Record_ID=record_id(None, "warcinfo"), WARC_Date="2024-01-01T00:00:00Z", Content_Type="application/warc-fields")
         yield from _as_files(_chunks(rows(), info))
 
-    write_files(records.select("url", "date", "page_id", "http", "payload", "digest", "original").mapInArrow(run, "content binary"), folder, gzip=True)
+    write_files(records.select("url", "date", "page_id", "http", "payload", "digest", "original", "original_url", "original_date").mapInArrow(run, "content binary"), folder, gzip=True)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

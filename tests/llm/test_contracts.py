@@ -264,6 +264,21 @@ def test_op4_ids_and_bad_archives():
         list(archives.parse_arc(data[:-5]))
 
 
+def test_op4_revisits_name_a_record(spark, tmp_path):
+    import gzip
+
+    own = [(1, "http://a b/", "x" * 2000), (2, None, "x" * 2000), (5, "http://e/", "x" * 2000), (5, "http://d/", "x" * 2000), (None, "http://n/", "x" * 2000), (7, "http://g/", "y" * 2000)]
+    archives.write_arc(spark.createDataFrame(own, "page_id long, url string, html string"), f"file://{tmp_path}/arc")
+    archives.arc_to_warc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    heads = [h for f in (tmp_path / "warc").glob("[!._]*") for h, _ in archives.parse_warc(gzip.decompress(f.read_bytes()))]
+    there = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(there) == 3 and len(revisits) == 3
+    for h in revisits:
+        to = there[h["warc-refers-to"]]
+        assert (h["warc-refers-to-target-uri"], h["warc-refers-to-date"], h["warc-payload-digest"]) == (to["warc-target-uri"], to["warc-date"], to["warc-payload-digest"])
+
+
 # 5
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
