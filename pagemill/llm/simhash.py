@@ -10,8 +10,10 @@ which no hot variant can fill, and each fingerprint is tied to the few before it
 label the fingerprints; heavy variants whose fingerprints all have one label drop out, and the join keeps only pairs of
 different labels. Equal fingerprints count once throughout.
 
-Defined cases: a null or wordless text has fingerprint zero and links like any other; ties and repeated rows share their
-component; null keys never serve as component id unless there is no other; an empty table gives an empty result.
+Defined cases: a null, empty or wordless text has fingerprint zero and links like any other; a text of any length is hashed
+whole, its shingles' bits counted in blocks of bounded size; ties and repeated rows share their component; null keys never
+serve as component id unless there is no other; an empty table gives an empty result; ``keep_first`` passes other columns
+through whatever their names, ``group`` and ``report`` ignore them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagemill.llm._base import lookup_salted, settle
+from pagemill.llm._base import Scratch, lookup_salted
 
 SEED = 42
 
@@ -138,74 +140,74 @@ def _ties(keyed: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(fp, label) for every end of ``edges`` (a, b); the label is the smallest end of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """(fp, label) for every end of ``edges`` (a, b), a settled table; the label is the smallest end of its component.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes.
+    Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes; each step drops
+    the table of the one before.
     """
-    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    was = state(edges)
-    for _ in range(most):
-        if not was[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").distinct()
-        # small star: every larger end, its smaller neighbours and itself meet at the smallest of them
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        joined = large.join(low, F.col("b") == F.col("u"))
-        small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
-        edges = settle(small, "edges")
-        now = state(edges)
-        if now == was:
-            break
-        was = now
-    return edges.select(F.col("b").alias("fp"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("fp"), F.col("a").alias("label"))).distinct()
+    with Scratch(edges.sparkSession, "components") as scratch:
+        edges = scratch.settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+
+        def state(df: DataFrame) -> tuple:
+            return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+        was, now = None, state(edges)
+        while now[0] and now != was:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").distinct()
+            # small star: every larger end, its smaller neighbours and itself meet at the smallest of them
+            low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+            joined = large.join(low, F.col("b") == F.col("u"))
+            small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
+            last, edges = edges, scratch.settle(small, "edges")
+            scratch.drop(last)
+            was, now = now, state(edges)
+        return scratch.keep(edges.select(F.col("b").alias("fp"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("fp"), F.col("a").alias("label"))).distinct(), "labels")
 
 
 def links(fps: DataFrame, bits: int = 4, hot: int = 256) -> DataFrame:
-    """A set of links (a, b) between different fingerprints whose components are those of all links.
+    """A set of links (a, b) between different fingerprints whose components are those of all links; a settled table.
 
     In a variant of more than ``hot`` fingerprints, those of its most frequent label are not compared with each other.
     """
-    ties = settle(_ties(variants(fps.select("fp"), bits), bits), "ties")
-    labels = components(ties)
-    named = settle(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
-    keyed = variants(named, bits)
-    heavy = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > hot)
-    heavy = settle(heavy, "heavy")
-
-    def joined(left: DataFrame, right: DataFrame, more: Column | None) -> DataFrame:
-        a, b = (df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns]) for s, df in (("a", left), ("b", right)))
-        x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-        on = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.bit_count(x) <= bits)
-        # of both sides, which then have the same columns and share one exchange
-        on &= _first_shared(F.greatest("a_variant", "b_variant").cast("int"), x, bits) & more
-        return a.join(b.hint("merge"), on).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
-
-    few = keyed.join(heavy.select("key"), "key", "left_anti")
-    # a heavy variant of one label holds no link that matters
-    many = keyed.join(heavy.filter("lo < hi").select("key"), "key", "left_semi")
-    most = many.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
-    many = settle(lookup_salted(many.select("key", "variant", "fp", "label"), most, "key", "n"), "hot")
-    minor = many.filter("label <> top")
-    apart = (F.col("b_label") == F.col("b_top")) | (F.col("a_fp") < F.col("b_fp"))
-    return ties.unionByName(joined(few, few, F.col("a_fp") < F.col("b_fp"))).unionByName(joined(minor, many, apart))
+    with Scratch(fps.sparkSession, "links") as scratch:
+        ties = scratch.settle(_ties(variants(fps.select("fp"), bits), bits), "ties")
+        labels = components(ties)
+        named = scratch.settle(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
+        keyed = variants(named, bits)
+        heavy = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > hot)
+        heavy = scratch.settle(heavy, "heavy")
+
+        def joined(left: DataFrame, right: DataFrame, more: Column | None) -> DataFrame:
+            a, b = (df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns]) for s, df in (("a", left), ("b", right)))
+            x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+            on = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.bit_count(x) <= bits)
+            # of both sides, which then have the same columns and share one exchange
+            on &= _first_shared(F.greatest("a_variant", "b_variant").cast("int"), x, bits) & more
+            return a.join(b.hint("merge"), on).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+
+        few = keyed.join(heavy.select("key"), "key", "left_anti")
+        # a heavy variant of one label holds no link that matters
+        many = keyed.join(heavy.filter("lo < hi").select("key"), "key", "left_semi")
+        most = many.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
+        many = scratch.settle(lookup_salted(many.select("key", "variant", "fp", "label"), most, "key", "n"), "hot")
+        minor = many.filter("label <> top")
+        apart = (F.col("b_label") == F.col("b_top")) | (F.col("a_fp") < F.col("b_fp"))
+        return scratch.keep(ties.unionByName(joined(few, few, F.col("a_fp") < F.col("b_fp"))).unionByName(joined(minor, many, apart)), "links")
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
-    """The key, ``fp`` and ``component_id`` (the smallest key reachable over links) of every row."""
-    rows = settle(fingerprints(docs, key, text), "fps")
-    fps = settle(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "distinct")
-    labels = components(links(fps, bits))
-    named = settle(fps.join(labels, "fp", "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label")), "named")
-    first = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
-    member = lookup_salted(named.select("fp", "n", "label"), first, "label", "m")
-    return lookup_salted(rows, member.select("fp", "n", "component_id"), "fp", "n")
+    """The key, ``fp`` and ``component_id`` (the smallest key reachable over links) of every row; a settled table."""
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        rows = scratch.settle(fingerprints(docs, key, text), "fps")
+        fps = scratch.settle(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "distinct")
+        labels = components(links(fps, bits))
+        named = scratch.settle(fps.join(labels, "fp", "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label")), "named")
+        first = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+        member = lookup_salted(named.select("fp", "n", "label"), first, "label", "m")
+        return scratch.keep(lookup_salted(rows, member.select("fp", "n", "component_id"), "fp", "n"), "groups")
 
 
 def report(grouped: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -218,8 +220,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
 
     Rows with a null key stay, as nothing tells which of them came first.
     """
-    first = group(docs, key, text, bits).filter(f"`{key}` = component_id").select(F.col(key).alias("__first")).distinct()
-    kept = docs.join(first, F.col(key) == F.col("__first"), "left_semi")
-    one = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("__at", F.row_number().over(one)).filter("__at = 1").select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    first = group(docs, key, text, bits).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__s_first")).distinct()
+    own = docs.select(F.struct("*").alias("__s_row"), F.col(key).alias("__s_key"), F.xxhash64(F.col(text).cast("string")).alias("__s_hash"))
+    kept = own.join(first, F.col("__s_key") == F.col("__s_first"), "left_semi")
+    kept = kept.withColumn("__s_at", F.row_number().over(Window.partitionBy("__s_key").orderBy("__s_hash"))).filter("__s_at = 1")
+    return kept.unionByName(own.filter(F.col("__s_key").isNull()).withColumn("__s_at", F.lit(1))).select(*[F.col(f"__s_row.`{c}`") for c in docs.columns])
