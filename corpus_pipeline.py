@@ -1,53 +1,7 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
-
-Each stage works on all that its predecessor kept. Quality rules drop documents; line dedup drops lines, and documents none
-of whose lines is left; SimHash keeps one document of each component; decontamination drops documents that hold a benchmark
-item; the last encodes what is left and decodes it again. All but the last return the columns of ``documents``.
-"""
+"""The corpus pipeline: five stages over ``documents``; see ``pagemill.llm.stages``."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from pagemill.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from pagemill.llm._base import settle
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.keep_lines(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # less is remembered than by default: the executors' heaps have grown in the stages before
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cached=300_000, block_chars=6_000_000)
-
-
-STAGES = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("simhash", near_duplicates),
-    ("decontamination", benchmark),
-    ("bpe", tokens),
-]
-#: SQL can express neither the fingerprints' majority of XXH64 bits nor byte-pair encoding by ranks.
-ORACLE_SQL = None
-
+from pagemill.llm.stages import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
