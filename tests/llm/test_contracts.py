@@ -87,6 +87,45 @@ def test_op1_edges_and_the_models(spark, edge, empty):
     assert secrets.report(secrets.find(empty)).collect() == []
 
 
+def plain_extra(text, model):
+    """Spans that the models add, by plain Python."""
+    base, out = base_spans(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        codes = [0, *map(ord, m[0])]
+        if not any(s < m.end() and m.start() < e for s, _, e in base) and sum(model.weights[a * 128 + b] for a, b in zip(codes, codes[1:], strict=False)) > model.margin:
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_op1_planted_secrets_span_by_span(spark, sf, docs):
+    import random
+
+    rng = random.Random(3)
+    own, planted = [], {}
+    for k, (d, t) in enumerate(docs):
+        t = t or ""
+        if k % 4 == 0:  # between two words, one to three of them
+            for _ in range(rng.randint(1, 3)):
+                s = "".join(rng.choice(rng.choice(secrets.ALPHABETS[:7])) for _ in range(rng.randint(20, 48)))
+                t = f"{t} {s} ende"
+                planted.setdefault(d, []).append(s)
+        own.append((d, t, "x" * 5))
+    many = " ".join(f"password={i:07d} {'=' * 20} qX7vTz9LpR2mKw8sNd4B{i}" for i in range(300))
+    own += [(-1, many, ""), (-2, "a" * 300_000 + " " + "0123456789abcdef" * 9 + "é" * 100, "")]
+    frame = spark.createDataFrame(own, "doc_id long, text string, spans string")
+    model = secrets.fit(secrets.labelled(frame))
+    assert model.recall > 0.95 and model.false_finds <= 0.002
+    got = rows(secrets.report(secrets.find(frame)))
+    check_secrets([(d, t) for d, t, _ in own], got)
+    for d, t, _ in own:
+        assert [x for x in got[d]["spans"].split(",") if x.startswith("markov")] == plain_extra(t, model), d
+    text = {d: t for d, t, _ in own}
+    found = [s for d, ss in planted.items() for s in ss if f"markov:{text[d].index(s)}:{text[d].index(s) + len(s)}" in got[d]["spans"].split(",")]
+    assert len(found) > 0.95 * sum(map(len, planted.values()))
+    clean = [d for k, (d, _) in enumerate(docs) if k % 4]
+    assert sum("markov" in got[d]["spans"] for d in clean) <= 0.002 * len(clean)
+
+
 # 2
 def test_op2_finds_planted_passages_and_nothing_else(spark, sf, docs):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
