@@ -37,3 +37,30 @@ def retry_after(value: Column, as_of: Column) -> Column:
     date = F.try_to_timestamp(F.substring(value, 6, 40), F.lit("dd MMM yyyy HH:mm:ss z"))
     until = date.cast("double") - as_of.cast("timestamp").cast("double")
     return F.greatest(F.lit(0.0), F.coalesce(number, until, F.lit(0.0)))
+
+
+def message(text: Column) -> Column:
+    """Tokens of one message with its frame; a request adds 3."""
+    return 8 + F.coalesce(estimate(text), F.lit(0))
+
+
+def request(messages: Column, schema: Column | None = None) -> Column:
+    """Tokens of a request: ``messages`` is the sum of its messages' tokens, ``schema`` the JSON it asks answers to follow."""
+    own = F.lit(3) + messages
+    return (own + F.when(schema.isNotNull(), estimate(schema) + 8).otherwise(0) if schema is not None else own).cast("long")
+
+
+def output_share(key: Column, source: Column, ratio: float = 1.5) -> Column:
+    """What one target adds to the tokens of an answer."""
+    return estimate(source) * F.lit(ratio) + estimate(key) + 14
+
+
+def output(shares: Column) -> Column:
+    """Tokens of an answer, from the sum of its targets' shares."""
+    return F.greatest(F.lit(128), F.ceil(shares + 64)).cast("long")
+
+
+def batch(need_input: Column, need_output: Column, capacity: int, most_output: int, review: bool = True) -> Column:
+    """struct<review_input, total, fits> of a batch: with a review the draft and its hints are input as well."""
+    again = need_input + need_output + 4096 + 128 if review else need_input
+    return F.struct(again.alias("review_input"), (again + need_output).alias("total"), ((again + need_output <= capacity) & (need_output <= most_output)).alias("fits"))

@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pagemill.functions import tokens as M
 
 
 def pack_by_budget(df: DataFrame, group: str, order: str, cost: str, capacity: int, most: int = 0) -> DataFrame:
-    """``df`` with ``batch`` (from 1): each takes the longest run that fits; one too large stands alone; ``most`` caps the count."""
+    """``df`` with ``batch`` (from 1): each takes the longest run that fits; one too large stands alone; ``most`` caps the count. A null cost is 0."""
     names = df.columns
+    df = df.withColumn(cost, F.coalesce(F.col(cost).cast("long"), F.lit(0)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, batch, used, count = object(), 0, 0, 0
@@ -35,46 +38,34 @@ def pack_by_budget(df: DataFrame, group: str, order: str, cost: str, capacity: i
     return dealt.mapInPandas(run, f"{fields}, batch long")
 
 
-def chunks(text: str, budget: int, cost=len) -> list[str]:
-    """``text`` in pieces of at most ``budget``; back to the last line end if that keeps over half. They join to the text."""
-    out = []
-    while text:
-        lo, hi = 1, len(text)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if cost(text[:mid]) <= budget else (lo, mid - 1)
-        end = lo
-        if end < len(text) and (line := text.rfind("\n", 0, end) + 1) > end // 2:
-            end = line
-        out.append(text[:end])
-        text = text[end:]
-    return out
-
-
-def halve(costs: list[int], capacity: int) -> list[list[int]]:
-    """Indices of ``costs`` in groups that fit, by halving what does not; a single one stays whatever it costs."""
-    todo, out = [list(range(len(costs)))], []
-    while todo:
-        part = todo.pop()
-        if len(part) <= 1 or sum(costs[i] for i in part) <= capacity:
-            if part:
-                out.append(part)
-        else:
-            todo += [part[len(part) // 2 :], part[: len(part) // 2]]
-    return out
-
-
-def page_ranges(spec: str, pages: int) -> list[int]:
-    """"1,3-5" as page numbers in that order; ValueError for repeats, bounds, falling ranges and anything else."""
-    out = []
-    for part in spec.split(","):
-        ends = part.strip().split("-")
-        if len(ends) > 2 or not all(e.isdigit() for e in ends):
-            raise ValueError(f"not a page range: {part!r}")
-        first, last = int(ends[0]), int(ends[-1])
-        if not 1 <= first <= last <= pages:
-            raise ValueError(f"not within 1 to {pages}: {part!r}")
-        out += range(first, last + 1)
-    if len(set(out)) != len(out):
-        raise ValueError("a page is named twice")
-    return out
+def pick_by_budget(df: DataFrame, group: str, order: str, cost: str, score: str, budget: int, first: int = 5) -> DataFrame:
+    """The ``first`` rows of each group by ``order`` (from 0), and the others by falling score, each if the budget still holds it.
+
+    One that is too large is passed over and takes nothing, so no running sum tells the rest: the rows stream through in that order.
+    """
+    names = df.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used = object(), 0
+        for frame in frames:
+            keep = []
+            for g, n, c in zip(frame[group], frame[order], frame[cost], strict=True):
+                if g != at:
+                    at, used = g, 0
+                taken = n < first or used + c <= budget
+                used += c * taken
+                keep.append(taken)
+            yield frame[keep][names]
+
+    rank = F.when(F.col(order) < first, None).otherwise(-F.col(score))
+    dealt = df.withColumn("__rank", rank).repartition(group).sortWithinPartitions(group, F.asc_nulls_first("__rank"), order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return dealt.mapInPandas(run, fields)
+
+
+def trim_hints(hints: Column, budget: int) -> Column:
+    """``hints`` from the first on, as many as their JSON, with a blank after each comma, takes ``budget`` tokens."""
+    quoted = F.transform(hints, lambda h: F.to_json(F.array(h)))
+    size = lambda n: M.estimate(F.concat(F.lit("["), F.array_join(F.transform(F.slice(quoted, F.lit(1), n), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)), ", "), F.lit("]")))
+    fits = F.filter(F.sequence(F.size(hints), F.lit(0), F.lit(-1)), lambda n: size(n) <= budget)
+    return F.slice(hints, F.lit(1), F.coalesce(F.get(fits, F.lit(0)), F.lit(0)))

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from pagemill.functions import text as X, tokens as M
-from pagemill.operators import jobs, packing, ranking, sets, spatial, windows
+from pagemill.operators import jobs, packing, ranking, sets, windows
+from pagemill.plans import collecting, layout, ledgers, reports, requests, responses  # noqa: F401  their queries are registered on import
+from pagemill.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from pagemill.sources.tables import table
 from pagemill.streaming import logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 #: The token estimate in DuckDB.
 _EST = "CAST(ceil((length({t}) - length(regexp_replace({t}, '[㐀-鿿]', '', 'g'))) * 1.3::DOUBLE + length(regexp_replace({t}, '[㐀-鿿]', '', 'g')) / 2.5::DOUBLE) AS BIGINT)"
@@ -67,25 +54,37 @@ def exact_duplicates(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-@query("""
-WITH t AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE length(text) >= 32 GROUP BY text)
-SELECT a.doc_id, min(b.doc_id) AS within FROM t a JOIN t b ON left(a.text, 32) = left(b.text, 32) AND a.doc_id <> b.doc_id AND starts_with(b.text, a.text) GROUP BY a.doc_id""")
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT line AS text, min(doc_id) AS doc_id FROM l WHERE line <> '' GROUP BY line)
+SELECT a.text, a.doc_id, min(b.text) AS within FROM t a JOIN t b ON starts_with(b.text, a.text) AND b.text <> a.text GROUP BY 1, 2""")
 def prefix_duplicates(spark, sf):
-    t = table(spark, sf, "documents").filter(F.length("text") >= 32).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    a, b = (t.select(F.left("text", F.lit(32)).alias("head"), F.col("text").alias(f"{s}_text"), F.col("doc_id").alias(f"{s}_id")) for s in "ab")
-    joined = a.join(b, "head").filter((F.col("a_id") != F.col("b_id")) & F.startswith("b_text", "a_text"))
-    return joined.groupBy(F.col("a_id").alias("doc_id")).agg(F.min("b_id").alias("within"))
+    """Lines that another line begins with, of any length."""
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).filter("text <> ''")
+    return sets.prefixes(lines.groupBy("text").agg(F.min("doc_id").alias("doc_id")), "text").select("text", "doc_id", "within")
 
 
-@query("""
-WITH t AS (SELECT DISTINCT item_id AS page, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark), i AS (SELECT * FROM t WHERE length(term) >= 4),
-n AS (SELECT count(DISTINCT page) AS n FROM i), d AS (SELECT term, count(*) AS df FROM i GROUP BY term), w AS (SELECT i.page, i.term, ln(1 + n.n / d.df::DOUBLE) AS weight FROM i JOIN d USING (term), n WHERE d.df <= 0.5 * n.n),
-s AS (SELECT page, count(*) AS terms FROM i GROUP BY page),
-p AS (SELECT a.page, b.page AS other, sum(b.weight) AS shared FROM w a JOIN w b USING (term) WHERE abs(a.page - b.page) > 1 GROUP BY 1, 2),
-r AS (SELECT p.page, other, round(shared / pow(greatest(1, s.terms), 0.3::DOUBLE), 6) AS score FROM p JOIN s ON s.page = p.other)
-SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, other DESC) AS INTEGER) AS rank, other, score FROM r QUALIFY rank <= 3""")
+@query(f"""
+WITH i AS (SELECT DISTINCT doc_id AS page, term FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 4 AND term NOT IN {tuple(ranking.STOP)}),
+n AS (SELECT count(*) AS n FROM documents), w AS (SELECT term, ln(1 + any_value(n) / count(*)::DOUBLE) AS weight FROM i, n GROUP BY term), s AS (SELECT page, count(*) AS terms FROM i GROUP BY page),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark)), p AS (SELECT q.item_id, i.page AS other, sum(weight) AS shared FROM q JOIN i USING (term) JOIN w USING (term) GROUP BY 1, 2),
+r AS (SELECT item_id, other, round(shared / pow(greatest(1, s.terms), 0.3::DOUBLE), 6) AS score FROM p JOIN s ON s.page = p.other)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other DESC) AS INTEGER) AS rank, other, score FROM r QUALIFY rank <= 3""")
 def related_pages_topk(spark, sf):
-    return ranking.related(ranking.terms(table(spark, sf, "benchmark"), "item_id", "text"))
+    """For each benchmark item, the query, the three documents that share most with it, of all of them."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    queries = ranking.terms(items, "item_id", "text").withColumnRenamed("page", "query")
+    return ranking.related(ranking.terms(docs, "doc_id", "text"), queries, docs.count()).withColumnRenamed("query", "item_id")
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT doc_id AS page, term FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 4 AND term NOT IN {tuple(ranking.STOP)}),
+d AS (SELECT page, count(*) AS n FROM i GROUP BY page), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark) WHERE length(term) >= 4 AND term NOT IN {tuple(ranking.STOP)})
+SELECT item_id, page, count(*) AS shared FROM q JOIN i USING (term) GROUP BY 1, 2 HAVING count(*) >= 12""")
+def word_intersections(spark, sf):
+    """Documents that share twelve words or more with an item."""
+    i = ranking.terms(table(spark, sf, "documents"), "doc_id", "text")
+    q = ranking.terms(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("page", "item_id")
+    return q.join(i, "term").groupBy("item_id", "page").agg(F.count("*").alias("shared")).filter("shared >= 12")
 
 
 @query("""
@@ -99,11 +98,12 @@ def neighbour_context(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT item_id, unnest(string_split(text, '')) AS ch, 1 AS s FROM benchmark UNION ALL SELECT item_id, unnest(string_split(left(reverse(text), 100), '')), -1 FROM benchmark),
-d AS (SELECT item_id, ch, sum(s) AS d FROM e GROUP BY 1, 2)
-SELECT item_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS missing, count(*) FILTER (WHERE d > 0) AS kinds FROM d GROUP BY item_id""")
+WITH e AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, 1 AS s FROM documents UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[aeiou]', '', 'g'), '')), -1 FROM documents),
+d AS (SELECT doc_id, ch, sum(s) AS d FROM e WHERE ch <> '' GROUP BY 1, 2)
+SELECT doc_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS missing, count(*) FILTER (WHERE d > 0) AS kinds FROM d GROUP BY doc_id""")
 def char_multiset_diff(spark, sf):
-    return sets.character_shortfall(table(spark, sf, "benchmark"), F.col("text"), F.left(F.reverse("text"), F.lit(100)), "item_id")
+    """What a page read back in small letters without vowels lacks of its text."""
+    return sets.character_shortfall(table(spark, sf, "documents"), F.col("text"), F.regexp_replace(F.lower("text"), "[aeiou]", ""), "doc_id")
 
 
 @query("""
@@ -146,20 +146,13 @@ def interval_union(spark, sf):
 
 @query("""
 WITH l AS (SELECT user_id, max(ts) AS beat, arg_max(event_type, ts) AS last_type FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN last_type = 'error' THEN 'failed' WHEN beat < TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 30 SECOND THEN 'unresponsive' ELSE 'running' END AS state FROM l""")
+SELECT user_id, CASE WHEN last_type = 'error' THEN 'failed' WHEN beat < TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 30 SECOND THEN 'unresponsive' ELSE 'alive' END AS state FROM l""")
 def heartbeat_status(spark, sf):
     last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("beat"), F.max_by("event_type", "ts").alias("last_type"))
     state = F.when(F.col("last_type") == "error", "failed").otherwise("running")
     return last.select("user_id", jobs.heartbeat(state, F.col("beat"), F.expr("timestamp_ntz'2024-01-29 12:00:00'")).alias("state"))
 
 
-@query("""
-SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus IN ('F')) AS done, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed,
-CASE WHEN count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) < count(*) THEN 'running' WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'failed' ELSE 'completed' END AS overall FROM orders""")
-def status_rollup(spark, sf):
-    return jobs.roll_up(table(spark, sf, "orders"), "o_orderstatus", ["F"], "P")
-
-
 @query("""
 SELECT d.source, count(*) AS expected, count(l.doc_id) AS found, CASE WHEN count(l.doc_id) >= count(*) THEN 'ready' WHEN count(l.doc_id) > 0 THEN 'partial' ELSE 'failed' END AS status
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source""")
@@ -170,12 +163,12 @@ def output_completeness(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, lang AS value, 0 AS tier FROM documents UNION ALL SELECT doc_id, source, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END, 2 FROM labels)
+WITH t AS (SELECT doc_id, lang AS value, 0 AS tier FROM documents UNION ALL SELECT doc_id, CASE WHEN lang <> 'en' THEN source ELSE ' ' END, 1 FROM documents UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END, 2 FROM labels)
 SELECT doc_id, arg_max(value, tier) AS value, max(tier) AS tier FROM t WHERE trim(value) <> '' GROUP BY doc_id""")
 def priority_merge(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     verdict = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("").alias("value"))
-    return sets.priority_merge([docs.select("doc_id", F.col("lang").alias("value")), docs.filter("doc_id % 3 = 0").select("doc_id", F.col("source").alias("value")), verdict], "doc_id", "value")
+    return sets.priority_merge([docs.select("doc_id", F.col("lang").alias("value")), docs.select("doc_id", F.when(F.col("lang") != "en", F.col("source")).otherwise(" ").alias("value")), verdict], "doc_id", "value")
 
 
 @query("""
@@ -192,12 +185,13 @@ def issue_rollup(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events WHERE event_id % 10 < 8),
-c AS (SELECT user_id, event_type, count(*) AS have FROM events WHERE event_id % 10 < 5 GROUP BY 1, 2)
+WITH s AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events WHERE ts >= TIMESTAMP '2024-01-08'),
+c AS (SELECT user_id, event_type, count(*) AS have FROM events WHERE ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2024-01-08' OR ts >= TIMESTAMP '2024-01-29' GROUP BY 1, 2)
 SELECT user_id, event_type, event_id FROM s LEFT JOIN c USING (user_id, event_type) WHERE nth > coalesce(have, 0)""")
 def log_multiset_new(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    return sets.multiset_new(e.filter("event_id % 10 < 8"), e.filter("event_id % 10 < 5"), ["user_id", "event_type"], "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    captured = e.filter("ts >= timestamp_ntz'2024-01-08' and ts < timestamp_ntz'2024-01-20' or ts >= timestamp_ntz'2024-01-29'")
+    return sets.multiset_new(e.filter("ts >= timestamp_ntz'2024-01-08'"), captured, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
 @query(r"""
@@ -227,12 +221,10 @@ def error_redaction(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders)
-SELECT o_custkey, o_orderkey, o_orderstatus FROM m WHERE o_orderstatus IS DISTINCT FROM was""")
+WITH m AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 AS first FROM orders)
+SELECT o_custkey, o_orderkey, o_orderstatus FROM m WHERE o_orderstatus IS DISTINCT FROM was OR first""")
 def change_only_progress(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").withColumn("was", F.lag("o_orderstatus").over(w))
-    return o.filter(~F.col("o_orderstatus").eqNullSafe(F.col("was"))).select("o_custkey", "o_orderkey", "o_orderstatus")
+    return jobs.progress(table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query("""
@@ -244,11 +236,11 @@ def missing_extra_ids(spark, sf):
     return missing.unionByName(got.join(d.filter("lang <> 'fr'"), "doc_id", "left_anti").select(F.lit("extra").alias("kind"), "doc_id"))
 
 
-@query("SELECT conv_id, sha256(string_agg(CAST(turn AS VARCHAR) || ':' || role, ',' ORDER BY turn, role)) AS identity FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, sha256('[' || string_agg('["t' || turn || '", "' || role || '"]', ', ' ORDER BY 't' || turn, role) || ']') AS identity FROM conversations GROUP BY conv_id""")
 def manifest_identity(spark, sf):
-    pairs = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    joined = F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), ",")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sha2(joined, 256).alias("identity"))
+    """SHA-256 of the (slug, job) pairs in order, as JSON."""
+    c = table(spark, sf, "conversations").withColumn("slug", F.concat(F.lit("t"), F.col("turn").cast("string")))
+    return jobs.identity(c, "conv_id", "slug", "role")
 
 
 @query("SELECT l_orderkey, l_linenumber, least(60.0::DOUBLE, 0.5::DOUBLE * pow(2.0::DOUBLE, l_linenumber)) AS wait FROM lineitem")
@@ -256,37 +248,6 @@ def backoff_schedule(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.backoff(0.5, F.col("l_linenumber"), 60.0).alias("wait"))
 
 
-_BOXES = """b AS (SELECT s_suppkey % 5 AS page, s_suppkey AS ref, CAST(s_suppkey * 37 % 500 AS DOUBLE) AS x0, CAST(s_suppkey * 53 % 300 AS DOUBLE) AS y0, CAST(s_suppkey * 37 % 500 + 40 + s_suppkey % 7 * 30 AS DOUBLE) AS x1, CAST(s_suppkey * 53 % 300 + 20 + s_suppkey % 3 * 50 AS DOUBLE) AS y1 FROM supplier)"""
-
-
-def _boxes(spark, sf):
-    k = F.col("s_suppkey")
-    x, y = k * 37 % 500, k * 53 % 300
-    edges = {"x0": x, "y0": y, "x1": x + 40 + k % 7 * 30, "y1": y + 20 + k % 3 * 50}
-    return table(spark, sf, "supplier").select((k % 5).alias("page"), k.alias("ref"), *[v.cast("double").alias(n) for n, v in edges.items()])
-
-
-@query(f"""WITH {_BOXES}, p AS (SELECT c_custkey AS glyph, c_custkey % 5 AS page, CAST(c_custkey * 17 % 600 AS DOUBLE) AS x, CAST(c_custkey * 29 % 400 AS DOUBLE) AS y FROM customer),
-j AS (SELECT glyph, p.page, ref, row_number() OVER (PARTITION BY glyph ORDER BY (x1 - x0) * (y1 - y0) NULLS LAST, ref) AS r FROM p LEFT JOIN b ON p.page = b.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1)
-SELECT glyph, page, ref FROM j WHERE r = 1""")
-def glyph_ownership(spark, sf):
-    k = F.col("c_custkey")
-    points = table(spark, sf, "customer").select(k.alias("glyph"), (k % 5).alias("page"), (k * 17 % 600).cast("double").alias("x"), (k * 29 % 400).cast("double").alias("y"))
-    return spatial.own_points(points, _boxes(spark, sf)).select("glyph", "page", "ref")
-
-
-@query(f"""WITH {_BOXES} SELECT a.page, a.ref, arg_min(c.ref, (c.x1 - c.x0) * (c.y1 - c.y0) * 1000000 + c.ref) AS container FROM b a JOIN b c ON a.page = c.page AND a.ref <> c.ref AND c.x0 - 2 <= a.x0 AND c.y0 - 2 <= a.y0 AND a.x1 <= c.x1 + 2 AND a.y1 <= c.y1 + 2 GROUP BY 1, 2""")
-def smallest_container(spark, sf):
-    boxes = _boxes(spark, sf)
-    return spatial.smallest_container(boxes, boxes)
-
-
-@query(f"""WITH {_BOXES} SELECT a.page, a.ref AS a, b2.ref AS b FROM b a JOIN b b2 ON a.page = b2.page AND a.ref < b2.ref
-AND least(a.x1, b2.x1) - greatest(a.x0, b2.x0) > 0.6::DOUBLE * least(a.x1 - a.x0, b2.x1 - b2.x0) AND least(a.y1, b2.y1) - greatest(a.y0, b2.y0) > 0.6::DOUBLE * least(a.y1 - a.y0, b2.y1 - b2.y0)""")
-def overlap_pairs(spark, sf):
-    return spatial.overlaps(_boxes(spark, sf))
-
-
 @query("""
 WITH e AS (SELECT o_custkey, o_orderdate AS due, 1 AS d, o_orderkey AS k FROM orders UNION ALL SELECT o_custkey, o_orderdate + INTERVAL 30 DAY, -1, o_orderkey FROM orders),
 r AS (SELECT o_custkey, sum(d) OVER (PARTITION BY o_custkey ORDER BY due, d, k ROWS UNBOUNDED PRECEDING) AS waiting FROM e)
@@ -299,7 +260,16 @@ def queue_audit(spark, sf):
     return e.withColumn("waiting", F.sum("d").over(w)).groupBy("o_custkey").agg(F.max("waiting").alias("peak"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, greatest(1, CAST(round(value) AS BIGINT)) AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY ts, greatest(1, CAST(round(value) AS BIGINT)), event_id) AS k FROM events),
+s AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS tokens, NULL::BIGINT AS admitted_at, 0::BIGINT AS now, []::STRUCT(a BIGINT, c BIGINT)[] AS w FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, tokens, CASE WHEN tokens <= 200 THEN go END, CASE WHEN tokens <= 200 THEN go ELSE now END,
+    CASE WHEN tokens <= 200 THEN list_append(list_filter(w, lambda x: x.a + 21600000000 > go), {'a': go, 'c': tokens}) ELSE w END
+  FROM (SELECT e.user_id, e.k, e.event_id, e.tokens, s.now, s.w, list_min(list_filter(list_concat([greatest(s.now, e.t)], list_transform(list_filter(s.w, lambda x: x.a + 21600000000 > greatest(s.now, e.t)), lambda x: x.a + 21600000000)),
+      lambda g: len(list_filter(s.w, lambda x: x.a + 21600000000 > g)) < 2 AND coalesce(list_sum(list_transform(list_filter(s.w, lambda x: x.a + 21600000000 > g), lambda x: x.c)), 0) + e.tokens <= 200)) AS go
+    FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+SELECT event_id, user_id, tokens, admitted_at FROM s WHERE k > 0""")
 def admission_simulation(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.greatest(F.lit(1), F.round("value")).cast("long").alias("tokens"))
     return logs.admit(e, "user_id", "ts", "tokens", rpm=2, tpm=200, seconds=21600).select("event_id", "user_id", "tokens", "admitted_at")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pagemill.functions import text as X, tokens as M
+from pagemill.functions import text as X, tokens as M, udtf
 from pagemill.operators import packing
 from pagemill.plans.queries import ORACLES, QUERIES
 from pagemill.streaming import logs
@@ -47,27 +47,32 @@ def test_admission_never_exceeds_the_window(spark, sf):
 
 
 def test_chunks_join_and_fit():
-    text = "one line\ntwo lines here\n" * 40 + "x" * 300
+    text = "one line\ntwo lines here\n" * 40 + "x" * 3000
     for budget in (1, 7, 50, 10_000):
-        parts = packing.chunks(text, budget)
+        parts = list(udtf.chunks(text, budget))
         assert "".join(parts) == text and all(len(p) <= budget for p in parts)
-    assert packing.halve([5, 5, 5, 30, 1], 10) == [[0, 1], [2], [3], [4]] and packing.halve([], 3) == []
+    assert list(udtf.chunks("ab\ncdef", 6)) == ["ab\ncde", "f"] and list(udtf.chunks("abcd\nef", 6)) == ["abcd\n", "ef"]
+    with pytest.raises(ValueError):
+        list(udtf.chunks("abc", 0))
+    assert list(udtf.halves([5, 5, 5, 30, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(udtf.halves([], 3)) == []
 
 
-@pytest.mark.parametrize("spec", ["0", "1,1", "3-1", "7", "1-2-3", "", "a", "1,"])
+@pytest.mark.parametrize("spec", ["0", "1,1", "3-1", "7", "1-2-3", "a", "1,", "-2", "2,1-3"])
 def test_page_ranges_refused(spec):
     with pytest.raises(ValueError):
-        packing.page_ranges(spec, 6)
+        list(udtf.page_ranges(spec, 6))
 
 
 def test_page_ranges_keep_order():
-    assert packing.page_ranges("5-6, 1,3", 6) == [5, 6, 1, 3]
+    assert list(udtf.page_ranges("5-6, 1,3", 6)) == [5, 6, 1, 3] and list(udtf.page_ranges(None, 3)) == list(udtf.page_ranges("", 3)) == [1, 2, 3]
 
 
 def test_packing_is_maximal(spark):
     df = spark.createDataFrame([("a", i, c) for i, c in enumerate([3, 4, 5, 100, 1, 1, 9])], "g string, k int, c long")
     got = [r["batch"] for r in packing.pack_by_budget(df, "g", "k", "c", 10).orderBy("k").collect()]
     assert got == [1, 1, 2, 3, 4, 4, 5]
+    none = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 8), ("a", 4, 9)], "g string, k int, c long")
+    assert [r["batch"] for r in packing.pack_by_budget(none, "g", "k", "c", 10).orderBy("k").collect()] == [1, 1, 2, 3]
 
 
 def test_scalars(spark):
