@@ -6,10 +6,13 @@ length, version 2 adds result code, checksum, location, offset and file name bef
 needs besides: record ids, ISO dates, record types and SHA-1 digests of block and payload.
 
 A record id is a custom (version 8) UUID: the page id, if the HTTP header names one, and a hash of URL, date and digest.
-So a revisit's reference leads back to a page without another join.
+So a revisit's reference leads back to a page without another join. A ``warcinfo`` record is named after what follows it; rows
+equal in all columns are one capture and share an id. Address and content type of an ARC record go on to its WARC record, the
+latter as that of a resource; a date that leaves out its end begins the span it names. Files are one gzip member each, as the
+text writer makes them.
 
 Of records with equal payloads of ``least`` bytes or more that with the largest page id is the response, others revisit it.
-Defined cases: null html is an empty payload; a null URL becomes ``http://unknown.invalid/``; null page ids are smaller than
+Defined cases: null or empty html is an empty payload; one of any length goes whole, alone in its file; a null URL becomes ``http://unknown.invalid/``; null page ids are smaller than
 all others and written without an id; rows that repeat the largest page id are responses all of them; an empty table gives
 no archives and an empty result; other columns are ignored.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -129,18 +132,25 @@ def warc_record(kind: str, block: bytes, **fields: str) -> bytes:
 
 
 def iso_date(date: str) -> str:
-    d = date.ljust(14, "0")
+    """An ARC date of 4 to 14 digits; months and days left out are the first."""
+    d = date + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(url: str, date: str, page_id: int | None, http: bytes, payload: bytes, digest: str, original: int | None, original_url: str | None = None, original_date: str | None = None) -> bytes:
+def convert(url: str, date: str, page_id: int | None, http: bytes, payload: bytes, digest: str, original: int | None, original_url: str | None = None, original_date: str | None = None, ip: str | None = None, mime: str | None = None) -> bytes:
     """The WARC record for an ARC record; ``original`` is the page it revisits, if any, with that record's URL and date."""
     own = record_id(page_id, url, date, digest)
-    about = {"WARC_Record_ID": own, "WARC_Date": iso_date(date), "WARC_Target_URI": url, "WARC_Payload_Digest": digest}
+    about = {"WARC_Record_ID": own, "WARC_Date": iso_date(date), "WARC_Target_URI": url, "WARC_IP_Address": ip if ip not in (None, "-", "0.0.0.0") else None, "WARC_Payload_Digest": digest}
     if original is not None:
         more = {"WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC_Refers_To": record_id(original, original_url, original_date, digest), "WARC_Refers_To_Target_URI": original_url, "WARC_Refers_To_Date": iso_date(original_date), "Content_Type": "application/http; msgtype=response"}
         return warc_record("revisit", http, **about, **more)
-    return warc_record("response" if http else "resource", http + payload, **about, Content_Type="application/http; msgtype=response" if http else "text/html")
+    return warc_record("response" if http else "resource", http + payload, **about, Content_Type="application/http; msgtype=response" if http else mime or "application/octet-stream")
+
+
+def info_record(first: bytes) -> bytes:
+    """The ``warcinfo`` record of a file that begins with the record ``first``."""
+    own = record_id(None, "warcinfo", hashlib.sha256(first).hexdigest())
+    return warc_record("warcinfo", b"software: pagemill\r\nformat: WARC File Format 1.1\r\n", WARC_Record_ID=own, WARC_Date="2024-01-01T00:00:00Z", Content_Type="application/warc-fields")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -152,19 +162,21 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.index(b"\r\n\r\n", at) + 4
         head = fields_of(data[at:end])
         block = data[end : end + int(head["content-length"])]
+        if len(block) != int(head["content-length"]) or data[end + len(block) : end + len(block) + 4] != b"\r\n\r\n":
+            raise ValueError(f"the WARC record at byte {at} is cut off")
         yield head, block
         at = end + len(block) + 4
 
 
-def _chunks(records: Iterator[bytes], head: bytes) -> Iterator[bytes]:
-    """``records`` in files of about CHUNK bytes, each beginning with ``head``."""
-    held, size = [head], 0
+def _chunks(records: Iterator[bytes], head: Callable[[bytes], bytes]) -> Iterator[bytes]:
+    """``records`` in files of about CHUNK bytes, each beginning with what ``head`` makes of its first record."""
+    held, size = [], 0
     for r in records:
-        held.append(r)
+        held += [r] if held else [head(r), r]
         size += len(r)
         if size >= CHUNK:
             yield b"".join(held)
-            held, size = [head], 0
+            held, size = [], 0
     if size:
         yield b"".join(held)
 
@@ -183,14 +195,14 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2024
                 for p, u, h in zip(*batch.columns, strict=True):
                     yield arc_record(u.as_py(), date, "text/html", http_block(p.as_py(), h.as_py() or b""), version)
 
-        yield from _as_files(_chunks(records(), arc_head("pagemill.arc", date, version)))
+        yield from _as_files(_chunks(records(), lambda _: arc_head("pagemill.arc", date, version)))
 
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").cast("binary").alias("h"))
     write_files(rows.mapInArrow(run, "content binary"), folder, gzip=True)
 
 
 def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """(page_id, url, date, digest, size, http, payload) of every record; without the last two unless ``payloads``."""
+    """(page_id, url, date, digest, size, ip, mime, http, payload) of every record; without the last two unless ``payloads``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +213,7 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
                         continue
                     http, payload = split_http(body)
                     page = fields_of(http).get("x-page-id") if http else None
-                    rows.append((int(page) if page is not None else None, head["URL"], head["Archive-date"], _sha1(payload), len(payload), http if payloads else None, payload if payloads else None))
+                    rows.append((int(page) if page is not None else None, head["URL"], head["Archive-date"], _sha1(payload), len(payload), head["IP-address"], head["Content-type"], http if payloads else None, payload if payloads else None))
                     size += len(body) * payloads
                     if size >= CHUNK // 2:
                         yield batched(rows)
@@ -210,10 +222,10 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
                     yield batched(rows)
 
     def batched(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "date", "digest", "size", "http", "payload"])
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "date", "digest", "size", "ip", "mime", "http", "payload"])
 
-    return read_files(spark, folder).select("content").mapInArrow(run, "page_id long, url string, date string, digest string, size long, http binary, payload binary")
+    return read_files(spark, folder).select("content").mapInArrow(run, "page_id long, url string, date string, digest string, size long, ip string, mime string, http binary, payload binary")
 
 
 def arc_to_warc(spark: SparkSession, arcs: str, folder: str, least: int = 1000) -> None:
@@ -229,13 +241,12 @@ def arc_to_warc(spark: SparkSession, arcs: str, folder: str, least: int = 1000)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[bytes]:
             for batch in batches:
-                for url, date, page, http, payload, digest, original, original_url, original_date in zip(*batch.columns, strict=True):
-                    yield convert(url.as_py(), date.as_py(), page.as_py(), http.as_py(), payload.as_py(), digest.as_py(), original.as_py(), original_url.as_py(), original_date.as_py())
+                for row in zip(*batch.columns, strict=True):
+                    yield convert(*[x.as_py() for x in row])
 
-        info = warc_record("warcinfo", b"software: pagemill\r\nformat: WARC File Format 1.1\r\n", WARC_Record_ID=record_id(None, "warcinfo"), WARC_Date="2024-01-01T00:00:00Z", Content_Type="application/warc-fields")
-        yield from _as_files(_chunks(rows(), info))
+        yield from _as_files(_chunks(rows(), info_record))
 
-    write_files(records.select("url", "date", "page_id", "http", "payload", "digest", "original", "original_url", "original_date").mapInArrow(run, "content binary"), folder, gzip=True)
+    write_files(records.select("url", "date", "page_id", "http", "payload", "digest", "original", "original_url", "original_date", "ip", "mime").mapInArrow(run, "content binary"), folder, gzip=True)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -298,9 +298,17 @@ def test_op4_ids_and_bad_archives():
     for page in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345, None):
         assert archives.page_of(archives.record_id(page, "u")) == page
     data = archives.arc_head("n", "20240101", 2) + archives.arc_record("http://x/", "20240101", "text/html", b"ab\ncd", 2) + b"\n\n"
-    assert [b for _, b in archives.parse_arc(data)][1] == b"ab\ncd" and archives.iso_date("199907") == "1999-07-00T00:00:00Z"[:0] + archives.iso_date("199907")
+    assert [b for _, b in archives.parse_arc(data)][1] == b"ab\ncd" and [archives.iso_date(d) for d in ("1999", "199907", "19990704", "19990704123456")] == ["1999-01-01T00:00:00Z", "1999-07-01T00:00:00Z", "1999-07-04T00:00:00Z", "1999-07-04T12:34:56Z"]
     with pytest.raises(ValueError):
         list(archives.parse_arc(data[:-5]))
+    page = archives.convert("http://x/", "1999", None, b"", b"png", "sha1:D", None, ip="1.2.3.4", mime="image/png")
+    whole = archives.info_record(page) + page
+    (info, _), (head, block) = archives.parse_warc(whole)
+    assert (head["warc-type"], head["content-type"], head["warc-ip-address"], block) == ("resource", "image/png", "1.2.3.4", b"png")
+    assert info["warc-record-id"] != archives.parse_warc(archives.info_record(page + b"x")).__next__()[0]["warc-record-id"]
+    for cut in (whole[:-1], whole[:-6]):
+        with pytest.raises(ValueError):
+            list(archives.parse_warc(cut))
 
 
 def test_op4_revisits_name_a_record(spark, tmp_path):
@@ -422,6 +430,29 @@ def test_op7_held_out_accuracy(spark, sf, edge, empty):
     assert len(none) == len(EDGE) and len({round(r["expected_grade"], 9) for r in none}) == 1
 
 
+def test_op7_scores_by_plain_sums(spark, edge):
+    rng = np.random.default_rng(1)
+    size = (1 << 18) + 50
+    w, t = rng.normal(size=size).astype("<f4") * 0.1, np.array([-1.0, 0.5])
+    for r in quality_model.score(edge, (w, t), 2).collect():
+        want = []
+        for d, text, *_ in EDGE:
+            if d == r["doc_id"]:
+                at, feature = quality_model.features([text or ""], 18)
+                z = sum(float(w[f]) for f in feature)
+                above = [1 - 1 / (1 + np.exp(-(x - z))) for x in t]
+                want.append((sum(above), above[1]))
+        assert any(abs(r["expected_grade"] - e) < 1e-4 and abs(r["tail_probability"] - p) < 1e-4 and r["kept"] == (r["tail_probability"] >= 0.5) for e, p in want)
+
+
+def test_op7_ties_stay_within_the_bound(spark):
+    rows_ = [(1, f"text number {i}", i % 2) for i in range(300)] + [(i, "good words here", 1) for i in range(2, 40)]
+    rated = spark.createDataFrame(rows_, "doc_id long, text string, grade int")
+    one = quality_model.fit(rated, 2, train_rows=50)
+    two = quality_model.fit(rated.repartition(7), 2, train_rows=50)
+    assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1])
+
+
 def test_op7_thresholds_are_ordered_and_learnt():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 2000)
@@ -450,7 +481,9 @@ def test_op8_as_tiktoken(spark, sf, docs, edge, empty):
     rng = np.random.default_rng(2)
     parts = [" ", "  ", "\n", "a", "b", "the", " the", "1", "23", "'s", "'", "!", "é", "\x1c", "日", "😀", "́", "\r\n", "\t", "\x85", "​", "﻿", "Ⅷ", "²", "<|endoftext|>", "=" * 40, "ab" * 50]
     texts = [(i, "".join(rng.choice(parts, rng.integers(0, 30)))) for i in range(1500)]
-    texts += [(2000, None), (2001, "x" * 5000), (2002, " " * 3000 + "a"), (2003, "".join(rng.choice(list("abcdefgh"), 4000))), (2004, "abc" * 1500)]
+    texts += [(2000, None), (2001, "x" * 5000), (2002, " " * 3000 + "a"), (2003, "".join(rng.choice(list("abcdefgh"), 4000))), (2004, "abc" * 1500), (2005, "abcdefg" * 3000), (2006, "é日本ñ" * 3000)]
+    # far longer than a chunk: letters that never break, and runs out of step with the chunks
+    texts += [(2007, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))), (2008, "".join(rng.choice(["the", "ing", "ea", "x"], 20_000))), (2009, "aaaaaaab" * 4000)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     check(texts, rows(bpe.digests(frame, path, public_tokenizers.PATTERN)))
     whole = rows(bpe.encode(frame, path, public_tokenizers.PATTERN))
@@ -489,6 +522,23 @@ def test_op9_measures_and_cascade(spark, sf, docs, edge, empty):
     assert quality_rules.judge(edge).columns == edge.columns and quality_rules.report(empty).collect() == [] and quality_rules.judge(empty).collect() == []
 
 
+def plain_kept(text):
+    """What the rules say, by plain Python."""
+    import unicodedata
+
+    n, chars, symbols, dup, _, failed = plain_measures(text)
+    text = text or ""
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    caps, letters = (sum(unicodedata.category(c).startswith(k) for c in text) for k in ("Lu", "L"))
+    return not (failed or chars < 2 * n or chars > 15 * n or 10 * symbols > n or (dup >= 3 and 10 * dup > 3 * lines) or 10 * caps > 4 * letters or 10 * letters < 6 * chars)
+
+
+def test_op9_verdict_by_plain_rules(spark, sf, docs):
+    got = rows(queries.op9_quality_rules(spark, sf))
+    wrong = [d for d, t in docs if got[d]["kept"] != plain_kept(t)]
+    assert not wrong and 0 < sum(r["kept"] for r in got.values()) < len(got)
+
+
 def test_op9_best_rate_first(spark):
     texts = ["### *** $$$ %%% " * 30 + f"word{i}" for i in range(40)] + [" ".join(f"word{i}{j}" for j in range(60)) for i in range(10)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
