@@ -4,11 +4,12 @@ P(grade <= k) = s(t_k - w.x): one weight vector over hashed text features shared
 t_0 < t_1 < ... Features are the distinct tokens of a text, their first four bytes, and the shape of what stands between
 tokens, hashed into ``2**hash_bits`` places, and ranges of a few ratios of the whole text. Whole texts are read.
 
-``fit`` takes at most ``train_rows`` labelled rows, those with the smallest hash of their key; only features of at least
+``fit`` takes at most ``train_rows`` labelled rows, those with the smallest hash of key and grade, then of the smallest grade
+and features; only features of at least
 ``least_docs`` of these get a weight. The fit runs in one task over that bounded sample. ``score`` gives each row its
 expected grade and its tail probability P(grade >= keep_grade), by which rows are selected.
 
-Defined cases: a null text has no tokens and is scored by the ratios of an empty text; null labels are left out; repeated
+Defined cases: a null text has no tokens and is scored by the ratios of an empty text; a very long one is read alone; null labels are left out; repeated
 rows are scored alike, and count as often as they stand in the labels; without labels, or with labels of one grade only,
 weights are zero and thresholds those of the smoothed frequencies; an empty table gives an empty result; other columns are
 ignored.
@@ -114,7 +115,7 @@ def fit(rated: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text"
     """(weights, thresholds) from at most ``train_rows`` rated rows, those with the smallest hash of key and grade."""
     size = (1 << hash_bits) + _RANGES * _RATIOS
     rows = rated.filter(F.col(grade).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(grade).cast("int").alias("grade"), F.xxhash64(F.col(key), F.col(grade)).alias("h"))
-    cut = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).first()["h"]
+    cut = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).first()["h"]  # keeps texts out of the sort
     if cut is None:
         return fit_arrays(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), size, n_grades)
 
@@ -134,7 +135,8 @@ def fit(rated: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text"
         yield pd.DataFrame({"w": [w.astype("<f4").tobytes()], "t": [t.astype("<f8").tobytes()]})
 
     sample = rows.filter(F.col("h") <= cut).select("text", "grade", "h").mapInArrow(extract, "features array<int>, grade int, h long")
-    row = sample.repartition(1).mapInPandas(train, "w binary, t binary").first()
+    # ties of the last hash are more than the bound, which holds for what the one task gets
+    row = sample.orderBy("h", "grade", "features").limit(train_rows).mapInPandas(train, "w binary, t binary").first()
     return np.frombuffer(row["w"], "<f4"), np.frombuffer(row["t"], "<f8")
 
 
