@@ -4,8 +4,8 @@ Each rule rejects a document by one predicate over shared measures. ``order_rule
 rejects on a bounded sample, then puts the rules with the most rejections per second first; ``verdict`` evaluates them in
 that order inside one CASE, which stops at the first that rejects. The order changes the cost, never the verdict.
 
-Defined cases: a null text has no words (all measures 0, rejected as too short); ties and repeated rows are judged row by
-row; an empty table gives an empty result; other columns pass through ``judge`` untouched whatever their names.
+Defined cases: a null or empty text has no words (all measures 0, rejected as too short); texts of any length are measured
+whole; ties and repeated rows are judged row by row; an empty table gives an empty result; other columns pass through ``judge`` untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagemill.llm._base import WORD, let
+from pagemill.llm._base import WORD, let, settle
 
 #: Symbols that count as junk.
 SYMBOLS = r"[#*$%&|<>]"
@@ -96,16 +96,19 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, text: str = "text", sample_rows: int = 500) -> list[Rule]:
-    """Rules by rejections per second on at most ``sample_rows`` rows, the best first; ties keep the given order.
+    """Rules by rejections per second on at most ``sample_rows`` different texts, the best first; ties keep the given order.
 
-    The sample only sets the order, so any rows do; its size is the bound on what is read for it.
+    The sample, the texts with the smallest hashes, only sets the order; its hashes alone pass through the driver.
     """
-    rows = docs.select(F.col(text).cast("string").alias(text)).take(sample_rows)
-    if not rows:
-        return list(rules)
-    sample = _with_words(docs.sparkSession.createDataFrame(rows, f"`{text}` string"), text).persist()
+    body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).withColumn("__q_hash", F.xxhash64(text))
+    few = body.select("__q_hash").distinct().orderBy("__q_hash").limit(sample_rows)
+    # ``sample_rows`` hashes at most; copies of a text are one
+    rows = settle(body.join(F.broadcast(few), "__q_hash", "left_semi").groupBy("__q_hash").agg(F.min(text).alias(text)).drop("__q_hash"), "rule-sample")
+    sample = _with_words(rows, text).persist()
     try:
         n = sample.count()
+        if not n:
+            return list(rules)
         m = measures(F.col("__q_text"), F.col("__q_words"))
 
         def timed(condition: Column) -> tuple[float, int]:
