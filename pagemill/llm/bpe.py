@@ -6,17 +6,23 @@ left-most non-overlapping places of that pair contract in one step where no voca
 (``unsafe`` ranks, found from the vocabulary itself, contract one place a step). Decoding joins ids to their bytes and
 aggregates them in order.
 
+Words of over ``CHUNK`` bytes go in chunks, as the steps of the recursion grow with a word's length. Ids are the encoding of
+their bytes if and only if each two neighbours are that of theirs: until some merge crosses a border between tokens, either
+side goes its own way, so the first to cross would do so with these two tokens alone. Chunks therefore stand as they are
+where the tokens at a border fit; where they don't, the tokens around it are encoded anew, twice as many each time, until
+they do.
+
 Memory: rows come in blocks of bounded bytes, the memory of words drops its older half when it would pass twice ``cached`` of them, and each
-database has a memory limit. Defined cases: a null text is empty (no ids); ties and repeated rows are encoded row by row;
-an empty table gives an empty result; other columns are ignored.
+database has a memory limit. Defined cases: a null text is empty (no ids); a text of any length goes whole, alone in its
+block if it is long; ties and repeated rows are encoded row by row; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -81,38 +87,11 @@ WITH RECURSIVE step(word, pos, id, key, best) AS (
 )
 SELECT word, list(id::INTEGER ORDER BY pos) AS ids FROM step WHERE best >= {NO << 32} GROUP BY word
 """
-#: The same for words with long runs: where all places of the rank are pairs of equal tokens, every second of a run contracts.
-ENCODE_RUNS = """
-WITH RECURSIVE step(word, pos, id, live) AS (
-    SELECT word, pos, id, true FROM start
-    UNION ALL
-    SELECT word, pos, id, live FROM (
-        WITH paired AS (
-            SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM step WHERE live
-        ), least AS (
-            SELECT p.*, m.code >> 1 AS rank, m.code & 1 = 1 AS one, m.unsafe, min(m.code >> 1) OVER (PARTITION BY word) AS best
-            FROM paired p LEFT JOIN merges m ON m.a = p.id AND m.b = p.next_id
-        ), placed AS (
-            SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS k FROM least
-        ), runs AS (
-            SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth, bool_and(NOT hit OR id = next_id) OVER (PARTITION BY word) AS equal FROM placed
-        ), chosen AS (
-            SELECT word, pos, id, best, hit AND CASE WHEN unsafe THEN nth = 1
-                   WHEN equal THEN (row_number() OVER (PARTITION BY word, hit, k - nth ORDER BY pos)) % 2 = 1
-                   WHEN one THEN nth = 1 ELSE true END AS taken FROM runs
-        ), gone AS (
-            SELECT word, pos, id, best, taken, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten FROM chosen
-        )
-        SELECT word, pos, CASE WHEN taken THEN best ELSE id END AS id, best IS NOT NULL AS live FROM gone WHERE NOT eaten
-    )
-)
-SELECT word, list(id::INTEGER ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
-"""
 DECODE = "SELECT word, string_agg(v.text, '' ORDER BY i.pos) AS text FROM ids i JOIN vocab v USING (id) GROUP BY word"
 
 
-#: 32 times the same byte, or the same two, three or four in turn.
-LONG_RUN = re.compile(rb"(.{1,4}?)\1{31}", re.DOTALL)
+#: Bytes of a chunk of a long word. A multiple of many short periods, so that what repeats in a word is cut in step.
+CHUNK = 120
 
 
 class Encoder:
@@ -124,13 +103,15 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.cached, self.known, self.old = cached, {}, {}
+        self.cached, self.known, self.old, self.size = cached, {}, {}, 0
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": ""})
         a, b, rank, unsafe, overlap = merge_table(self.ranks)
         one = np.isin(rank, sorted(unsafe | overlap))
-        self._table("merges", a=a, b=b, code=rank.astype(np.int64) * 2 + one, unsafe=np.isin(rank, sorted(unsafe)))
+        self._table("merges", a=a, b=b, code=rank.astype(np.int64) * 2 + one)
         # bytes as the characters of the same numbers: DuckDB joins strings in order, and Latin-1 gives the bytes back
         self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), text=pa.array([t.decode("latin-1") for t in self.ranks]))
+        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
     def _table(self, name: str, **columns) -> None:
@@ -141,10 +122,12 @@ class Encoder:
     def words(self, words: set[str]) -> dict[str, bytes]:
         """By word: the number of ids in four bytes, the ids in four bytes each, the decoded bytes.
 
-        What was met before is remembered, up to twice ``cached`` words, one object for each.
+        What was met before is remembered, up to twice ``cached`` words, one object for each; a long word counts as several.
         """
-        if len(self.known) + len(words) > self.cached:
-            self.old, self.known = self.known, {}
+        size = sum(1 + len(w) // 100 for w in words)
+        if self.size + size > self.cached:
+            self.old, self.known, self.size = self.known, {}, 0
+        self.size += size
         known, old = self.known, self.old
         fresh = []
         for w in words:
@@ -161,22 +144,60 @@ class Encoder:
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; a word that is a token is that token."""
         out = [None] * len(words)
-        rest: list[list[int]] = [[], []]
+        rest, long = [], []
         for k, w in enumerate(words):
             known = self.ranks.get(w)
             if known is not None:
                 out[k] = np.array([known], np.uint32)
             else:
-                rest[len(w) >= 64 and bool(LONG_RUN.search(w))].append(k)
-        for ks, query in zip(rest, (ENCODE, ENCODE_RUNS), strict=True):
-            self._recurse(words, ks, query, out)
+                (rest if len(w) <= 2 * CHUNK else long).append(k)
+        self._recurse(words, rest, out)
+        for k in long:
+            out[k] = self._chunked(words[k])
+        return out
+
+    def merged(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word by merging alone, be it a token or not."""
+        out = [None] * len(words)
+        # a chunk takes more steps than a word does, and all steps' rows are kept
+        self._recurse(words, range(len(words)), out, 40_000)
         return out
 
-    def _recurse(self, words: list[bytes], rest: list[int], query: str, out: list) -> None:
+    def _chunked(self, word: bytes) -> np.ndarray:
+        """Ids of a word of any length."""
+        parts = self.merged([word[i : i + CHUNK] for i in range(0, len(word), CHUNK)])
+        ids = np.concatenate(parts)
+        borders, width = np.cumsum([len(p) for p in parts])[:-1], 2
+        while len(borders := self._broken(ids, borders)):
+            lo, hi = np.maximum(borders - width, 0), np.minimum(borders + width, len(ids))
+            first = np.r_[True, lo[1:] > np.maximum.accumulate(hi)[:-1]]
+            lo, hi = lo[first], np.maximum.reduceat(hi, np.flatnonzero(first))
+            anew = self.merged([b"".join(map(self.bytes_of.__getitem__, ids[a:b].tolist())) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+            pieces, edges, at, size = [], [], 0, 0
+            for a, b, new in zip(lo.tolist(), hi.tolist(), anew, strict=True):
+                pieces += [ids[at:a], new]
+                edges += [size + a - at, size + a - at + len(new)]
+                size, at = edges[-1], b
+            ids = np.concatenate([*pieces, ids[at:]])
+            borders = np.unique([e for e in edges if 0 < e < len(ids)]).astype(np.int64)
+            width *= 2
+        return ids
+
+    def _broken(self, ids: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """Those of ``borders`` whose two tokens are not the encoding of their bytes."""
+        pairs = list(zip(ids[borders - 1].tolist(), ids[borders].tolist(), strict=True))
+        fresh = [p for p in dict.fromkeys(pairs) if p not in self.fits]
+        if len(self.fits) + len(fresh) > 100_000:
+            self.fits, fresh = {}, list(dict.fromkeys(pairs))
+        for p, got in zip(fresh, self.merged([self.bytes_of[a] + self.bytes_of[b] for a, b in fresh]), strict=True):
+            self.fits[p] = got.tolist() == list(p)
+        return borders[[not self.fits[p] for p in pairs]] if pairs else borders[:0]
+
+    def _recurse(self, words: list[bytes], rest: Sequence[int], out: list, most: int = 400_000) -> None:
         at = 0
-        while at < len(rest):  # by bounded bytes; a longer word goes alone
+        while at < len(rest):  # by bounded bytes
             size, to = 0, at
-            while to < len(rest) and (to == at or size + len(words[rest[to]]) <= 400_000):
+            while to < len(rest) and (to == at or size + len(words[rest[to]]) <= most):
                 size += len(words[rest[to]])
                 to += 1
             part = rest[at:to]
@@ -184,7 +205,7 @@ class Encoder:
             data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             self._table("start", word=np.repeat(np.arange(len(part), dtype=np.int32), lengths), pos=pos.astype(np.int32), id=self.byte_id[data])
-            got = self.db.sql(query).to_arrow_table()
+            got = self.db.sql(ENCODE).to_arrow_table()
             word, ids = got["word"].to_numpy(), got["ids"].combine_chunks()
             values, offsets = np.asarray(ids.values).astype(np.uint32), np.asarray(ids.offsets)
             for w, a, b in zip(word.tolist(), offsets.tolist(), offsets.tolist()[1:], strict=False):
