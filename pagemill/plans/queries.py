@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from pagemill.functions import text as X, tokens as M
 from pagemill.operators import jobs, packing, ranking, sets, windows
-from pagemill.plans import collecting, layout, ledgers, reports, requests, responses  # noqa: F401  their queries are registered on import
+from pagemill.plans import collecting, layout, ledgers, reports, requests, responses, translation  # noqa: F401  their queries are registered on import
 from pagemill.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from pagemill.sources.tables import table
 from pagemill.streaming import logs
