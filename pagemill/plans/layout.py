@@ -10,7 +10,7 @@ from pagemill.plans.registry import query
 from pagemill.sources.tables import table
 
 _D = "::DOUBLE"
-_BOXES = """b AS (SELECT k % 50 AS page, k AS ref, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + w)::DOUBLE AS x1, (y + h)::DOUBLE AS y1, (8 + k % 5)::DOUBLE AS size, k % 3 = 0 AS native, name AS text FROM (
+_BOXES = """b AS (SELECT k // 40 AS page, k AS ref, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + w)::DOUBLE AS x1, (y + h)::DOUBLE AS y1, (8 + k % 5)::DOUBLE AS size, k % 3 = 0 AS native, name AS text FROM (
 SELECT p_partkey AS k, p_partkey * 37 % 60 * 8 AS x, p_partkey * 53 % 30 * 10 AS y, 20 + p_size * 3 + p_partkey % 4 * 40 AS w, 10 + p_partkey % 7 * 6 AS h, p_brand AS name FROM part))"""
 _GLYPHS = """g AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS ref, substr(l_returnflag || l_linestatus, l_linenumber % 2 + 1, 1) AS c, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + 6)::DOUBLE AS x1, (y + 9)::DOUBLE AS y1, (y + 8)::DOUBLE AS baseline,
 (6 + l_linenumber % 4 * 2)::DOUBLE AS size, 'F' || (l_linenumber % 3) AS font FROM (SELECT *, l_partkey * 7 % 500 AS x, l_orderkey * 11 % 300 AS y FROM lineitem))"""
@@ -20,7 +20,7 @@ def boxes(spark, sf):
     k = F.col("p_partkey")
     x, y = k * 37 % 60 * 8, k * 53 % 30 * 10
     edges = {"x0": x, "y0": y, "x1": x + 20 + F.col("p_size") * 3 + k % 4 * 40, "y1": y + 10 + k % 7 * 6, "size": 8 + k % 5}
-    return table(spark, sf, "part").select((k % 50).alias("page"), k.alias("ref"), *[v.cast("double").alias(n) for n, v in edges.items()], (k % 3 == 0).alias("native"), F.col("p_brand").alias("text"))
+    return table(spark, sf, "part").select(F.floor(k / 40).alias("page"), k.alias("ref"), *[v.cast("double").alias(n) for n, v in edges.items()], (k % 3 == 0).alias("native"), F.col("p_brand").alias("text"))
 
 
 def glyphs(spark, sf):
@@ -31,12 +31,12 @@ def glyphs(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + n).alias("ref"), c.alias("c"), *[v.cast("double").alias(k) for k, v in edges.items()], F.concat(F.lit("F"), (n % 3).cast("string")).alias("font"))
 
 
-@query(f"""WITH {_BOXES}, {_GLYPHS}, p AS (SELECT ref AS glyph, page % 50 AS page, x0 + 3 AS x, y0 + 4 AS y FROM g),
+@query(f"""WITH {_BOXES}, {_GLYPHS}, p AS (SELECT ref AS glyph, page // 2 AS page, x0 + 3 AS x, y0 + 4 AS y FROM g),
 j AS (SELECT glyph, p.page, ref, row_number() OVER (PARTITION BY glyph, p.page ORDER BY (x1 - x0) * (y1 - y0) NULLS LAST, ref) AS r FROM p LEFT JOIN b ON p.page = b.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1)
 SELECT glyph, page, coalesce(ref, -(glyph % 100) - 1) AS ref FROM j WHERE r = 1""")
 def glyph_ownership(spark, sf):
     """The smallest box that holds a glyph's centre, else a group of its line's own."""
-    points = glyphs(spark, sf).select(F.col("ref").alias("glyph"), (F.col("page") % 50).alias("page"), (F.col("x0") + 3).alias("x"), (F.col("y0") + 4).alias("y"))
+    points = glyphs(spark, sf).select(F.col("ref").alias("glyph"), F.floor(F.col("page") / 2).alias("page"), (F.col("x0") + 3).alias("x"), (F.col("y0") + 4).alias("y"))
     return S.own_points(points, boxes(spark, sf).select("page", "ref", "x0", "y0", "x1", "y1"), "glyph", -(F.col("glyph") % 100) - 1).select("glyph", "page", "ref")
 
 
@@ -69,13 +69,13 @@ def overlap_pairs(spark, sf):
     return S.overlaps(halves)
 
 
-_ART = "art AS (SELECT s_suppkey % 50 AS page, s_suppkey AS ref, (s_suppkey * 29 % 300)::DOUBLE AS x0, (s_suppkey * 17 % 200)::DOUBLE AS y0, (s_suppkey * 29 % 300 + 220)::DOUBLE AS x1, (s_suppkey * 17 % 200 + 120)::DOUBLE AS y1, 'd' || s_suppkey % 9 AS digest FROM supplier)"
+_ART = "art AS (SELECT s_suppkey // 2 AS page, s_suppkey AS ref, (s_suppkey * 29 % 300)::DOUBLE AS x0, (s_suppkey * 17 % 200)::DOUBLE AS y0, (s_suppkey * 29 % 300 + 220)::DOUBLE AS x1, (s_suppkey * 17 % 200 + 120)::DOUBLE AS y1, 'd' || s_suppkey % 9 AS digest FROM supplier)"
 
 
 def artwork(spark, sf):
     k = F.col("s_suppkey")
     x, y = k * 29 % 300, k * 17 % 200
-    return table(spark, sf, "supplier").select((k % 50).alias("page"), k.alias("ref"), *[v.cast("double").alias(n) for n, v in {"x0": x, "y0": y, "x1": x + 220, "y1": y + 120}.items()], F.concat(F.lit("d"), (k % 9).cast("string")).alias("digest"))
+    return table(spark, sf, "supplier").select(F.floor(k / 2).alias("page"), k.alias("ref"), *[v.cast("double").alias(n) for n, v in {"x0": x, "y0": y, "x1": x + 220, "y1": y + 120}.items()], F.concat(F.lit("d"), (k % 9).cast("string")).alias("digest"))
 
 
 _INSIDE = "EXISTS (SELECT 1 FROM art c WHERE a.page = c.page AND c.x0 - 1 <= a.x0 AND c.y0 - 1 <= a.y0 AND a.x1 <= c.x1 + 1 AND a.y1 <= c.y1 + 1)"
@@ -100,10 +100,14 @@ def formula_text(spark, sf):
     return S.not_covered(boxes(spark, sf).select("page", "ref", "x0", "y0", "x1", "y1"), artwork(spark, sf)).select("page", "ref")
 
 
-@query(f"""WITH {_BOXES.replace('y::DOUBLE AS y0', '(y + k // 300 % 4 * 12)::DOUBLE AS y0')} SELECT page, ref FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE o.page = a.page AND o.ref <> a.ref AND o.native = a.native AND abs(o.x0 - a.x0) < greatest(2, a.size * 0.2{_D}) AND abs(o.size - a.size) < a.size * 0.15{_D}
+@query(f"""WITH {_BOXES}, c AS (SELECT page, ref, native, size, y0, (ref % 3 * 100)::DOUBLE AS x0, ref % 3 * 100 + x1 - x0 AS x1 FROM b)
+SELECT page, ref FROM c a WHERE EXISTS (SELECT 1 FROM c o WHERE o.page = a.page AND o.ref <> a.ref AND o.native = a.native AND abs(o.x0 - a.x0) < greatest(2, a.size * 0.2{_D}) AND abs(o.size - a.size) < a.size * 0.15{_D}
 AND abs(o.y0 - a.y0) > a.size * 0.7{_D} AND abs(o.y0 - a.y0) < a.size * 4 AND abs((o.x1 - o.x0) - (a.x1 - a.x0)) > a.size)""")
 def left_peers(spark, sf):
-    return S.left_peers(boxes(spark, sf).withColumn("y0", F.col("y0") + F.floor(F.col("ref") / 300) % 4 * 12))
+    """Rows on three left edges a page."""
+    b = boxes(spark, sf)
+    edge = (F.col("ref") % 3 * 100).cast("double")
+    return S.left_peers(b.select("page", "ref", "native", "size", "y0", edge.alias("x0"), (edge + F.col("x1") - F.col("x0")).alias("x1")))
 
 
 @query(f"""WITH {_BOXES} SELECT a.page, a.ref, least(717, coalesce(min(o.x0 - 1) FILTER (WHERE o.y0 < a.y1 + 0.1{_D} AND o.y1 > a.y0 - 0.1{_D} AND o.x0 >= a.x1 - 0.2{_D}), 717))::DOUBLE AS "right",
@@ -133,7 +137,7 @@ def upright_boxes(spark, sf):
     return boxes(spark, sf).select("page", "ref", r.alias("r")).select("page", "ref", "r.*")
 
 
-_LOCAL = """l AS (SELECT b.page, b.ref, b.text, string_agg(g.c, '' ORDER BY g.ref) AS native FROM b JOIN g ON g.page % 50 = b.page AND (g.x0 + g.x1) / 2 BETWEEN b.x0 - 2 AND b.x1 + 2 AND greatest(b.y0, g.y0) < least(b.y1, g.y1)
+_LOCAL = """l AS (SELECT b.page, b.ref, b.text, string_agg(g.c, '' ORDER BY g.ref) AS native FROM b JOIN g ON g.page // 2 = b.page AND (g.x0 + g.x1) / 2 BETWEEN b.x0 - 2 AND b.x1 + 2 AND greatest(b.y0, g.y0) < least(b.y1, g.y1)
   AND abs((b.y0 + b.y1) / 2 - (g.y0 + g.y1) / 2) < greatest(b.y1 - b.y0, g.size) * 0.5::DOUBLE GROUP BY 1, 2, 3)"""
 
 
@@ -143,14 +147,14 @@ def native_copies(spark, sf):
     """Descriptors that say what the glyphs at their place say."""
     k = F.col("ref") % 4
     d = boxes(spark, sf).withColumn("text", F.when(k == 0, " n").when(k == 1, "R").when(k == 2, "a o").otherwise("F"))
-    return S.same_text(d, glyphs(spark, sf).withColumn("page", F.col("page") % 50), X.ocr_key)
+    return S.same_text(d, glyphs(spark, sf).withColumn("page", F.floor(F.col("page") / 2)), X.ocr_key)
 
 
-@query(f"""WITH {_BOXES}, {_GLYPHS}, o AS (SELECT b.page, b.ref, string_agg(g.c, '' ORDER BY g.ref) AS observed FROM b JOIN g ON g.page % 50 = b.page AND (g.x0 + g.x1) / 2 BETWEEN b.x0 - 1.8{_D} AND b.x1 + 1.8{_D} AND (g.y0 + g.y1) / 2 BETWEEN b.y0 - 1.8{_D} AND b.y1 + 1.8{_D} GROUP BY 1, 2)
+@query(f"""WITH {_BOXES}, {_GLYPHS}, o AS (SELECT b.page, b.ref, string_agg(g.c, '' ORDER BY g.ref) AS observed FROM b JOIN g ON g.page // 2 = b.page AND (g.x0 + g.x1) / 2 BETWEEN b.x0 - 1.8{_D} AND b.x1 + 1.8{_D} AND (g.y0 + g.y1) / 2 BETWEEN b.y0 - 1.8{_D} AND b.y1 + 1.8{_D} GROUP BY 1, 2)
 SELECT b.page, b.ref, coalesce(contains(observed, 'NO'), false) AS found, CAST(coalesce(length(observed), 0) AS BIGINT) AS n FROM b LEFT JOIN o USING (page, ref)""")
 def placement_text(spark, sf):
     """Whether a placement's text stands in its frame."""
-    own = S.text_inside(boxes(spark, sf).select("page", "ref", "x0", "y0", "x1", "y1"), glyphs(spark, sf).withColumn("page", F.col("page") % 50))
+    own = S.text_inside(boxes(spark, sf).select("page", "ref", "x0", "y0", "x1", "y1"), glyphs(spark, sf).withColumn("page", F.floor(F.col("page") / 2)))
     return own.select("page", "ref", F.coalesce(F.contains("observed", F.lit("NO")), F.lit(False)).alias("found"), F.coalesce(F.length("observed"), F.lit(0)).cast("long").alias("n"))
 
 
@@ -297,7 +301,7 @@ def glyph_shadows(spark, sf):
 def text_copies(spark, sf):
     from pagemill.plans.responses import lines_of
 
-    own = lines_of(spark, sf).select((F.col("doc_id") % 40).alias("page"), (F.col("doc_id") * 100000 + F.col("n")).alias("ref"), F.col("line").alias("text"), F.lit(0.0).alias("x0"), (F.col("n") % 3).cast("double").alias("y0"), F.lit(100.0).alias("x1"), (F.col("n") % 3 + 20).cast("double").alias("y1"))
+    own = lines_of(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("page"), (F.col("doc_id") * 100000 + F.col("n")).alias("ref"), F.col("line").alias("text"), F.lit(0.0).alias("x0"), (F.col("n") % 3).cast("double").alias("y0"), F.lit(100.0).alias("x1"), (F.col("n") % 3 + 20).cast("double").alias("y1"))
     return Y.text_copies(own.filter("text <> ''"))
 
 
