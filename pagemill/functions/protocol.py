@@ -21,6 +21,8 @@ OPEN_BLOCK = r"(?s)<<<([A-Za-z0-9_-]+)>>>\s*(.*?)(?=<<<[A-Za-z0-9_-]+>>>|>>>END>
 #: Full-width punctuation and what it is compared as.
 _WIDE, _NARROW = "：，、；（）‐", ":,,;()-"
 _NONE = "cast(null as map<string,string>)"
+#: White space of any script.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _folded(text: Column) -> Column:
@@ -30,13 +32,11 @@ def _folded(text: Column) -> Column:
 def aligned_phrase(parent: Column, phrase: Column) -> Column:
     """The part of ``parent`` that is ``phrase`` but for white space and full-width punctuation; null if there is none."""
     bare = lambda t: _folded(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", ""))
-    chars = F.transform(F.split(parent, ""), lambda c, i: F.struct((i + 1).alias("at"), c.alias("c")))
     # the places of what is no white space
-    places = F.transform(F.filter(chars, lambda x: ~x["c"].rlike(r"(?U)\A[\s\x1c-\x1f]\z")), lambda x: x["at"])
-    needle = bare(phrase)
-    start = F.instr(bare(parent), needle)
-    found = F.transform(F.array(places), lambda p: F.substring(parent, F.get(p, start - 1), F.get(p, start + F.length(needle) - 2) - F.get(p, start - 1) + 1))[0]
-    return F.when((F.length(needle) > 0) & (start > 0), found)
+    chars = F.transform(F.split(parent, ""), lambda c, i: F.struct((i + 1).alias("at"), c.alias("c")))
+    places = F.transform(F.filter(chars, lambda x: ~F.contains(F.lit(_BLANKS), x["c"]) | (x["c"] == "")), lambda x: x["at"])
+    cut = lambda p, at, n: F.substring(parent, F.get(p, at - 1), F.get(p, at + n - 2) - F.get(p, at - 1) + 1)
+    return X.let(bare(phrase), lambda needle: X.let(F.instr(bare(parent), needle), lambda at: F.when((F.length(needle) > 0) & (at > 0), X.let(places, lambda p: cut(p, at, F.length(needle))))))
 
 
 def validate(source: Column, value: Column) -> Column:
