@@ -20,8 +20,8 @@ def number_runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
 
 
 def union_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Intervals of a key merged where they overlap or touch."""
-    w = Window.partitionBy(key).orderBy(start, end)
+    """Intervals of a key merged where they overlap or touch; one without an end comes after those with its start."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(reach < F.col(start), F.lit(True)).cast("int")
     marked = df.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))

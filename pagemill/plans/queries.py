@@ -140,7 +140,7 @@ m AS (SELECT *, CASE WHEN coalesce(max(b) OVER (PARTITION BY k ORDER BY a, b ROW
 g AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m), u AS (SELECT k, island, max(b) - min(a) AS len FROM g GROUP BY 1, 2)
 SELECT k AS l_partkey, count(*) AS islands, CAST(sum(len) AS BIGINT) AS covered FROM u GROUP BY k""")
 def interval_union(spark, sf):
-    i = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") % 1000).alias("a"), (F.col("l_orderkey") % 1000 + F.col("l_quantity").cast("long")).alias("b"))
+    i = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") % 1000).alias("a"), (F.col("l_orderkey") % 1000 + F.rint("l_quantity").cast("long")).alias("b"))
     return windows.union_intervals(i, "l_partkey", "a", "b").groupBy("l_partkey").agg(F.count("*").alias("islands"), F.sum(F.col("b") - F.col("a")).alias("covered"))
 
 
