@@ -13,7 +13,7 @@ def pieces(text: str) -> list[str]:
     """``text`` cut before every single blank that has no white space on either side.
 
     No match of the pattern crosses such a place: the run before the blank holds none, and after it a new match begins
-    with the blank.
+    with the blank. The same holds for a single line feed, which is a match of its own.
     """
     out, last = [], None
     for p in text.split(" "):
@@ -27,21 +27,38 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def cut_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes of the pieces of all texts, where each text's begin and the last ends, the pieces by code)."""
-    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+def cut_block(texts: list[str], lines: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes of the pieces of all texts, where each text's begin and the last ends, the pieces by code).
+
+    With ``lines`` texts whose line feeds all stand alone are cut before these as well.
+    """
+    column = pa.array(texts, pa.string())
+    if lines:
+        # a blank goes before each line feed, which then stands for the two
+        beside = pc.match_substring_regex(column, "[\t-\r ]\n|\n[\t-\r ]")
+        column = pc.if_else(beside, column, pc.replace_substring(column, "\n", " \n"))
+    lists = pc.split_pattern(column, " ")
     offsets = np.asarray(lists.offsets).astype(np.int64)
     encoded = lists.values.dictionary_encode()
+    del column, lists  # a block's texts each
     codes, seen = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
     if not len(codes):
         return codes, offsets, []
     odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in seen])
     first = offsets[:-1]
-    again = np.flatnonzero(np.logical_or.reduceat(odd[codes], first))
+    line = np.zeros(len(seen), bool)
+    if lines:
+        line = np.array([p[:1] == "\n" for p in seen])
+        for k in np.flatnonzero(line).tolist():
+            odd[k] = seen[k][1:2].isspace() or seen[k][-1].isspace()
+    again = np.logical_or.reduceat(odd[codes], first)
+    if lines:
+        again |= np.asarray(beside) & np.logical_or.reduceat(line[codes], first)
+    again = np.flatnonzero(again)
     # pieces that begin a text have no blank before them
     heads, at = np.unique(codes[first], return_inverse=True)
     codes[first] = len(seen) + at
-    names = [" " + p for p in seen] + [seen[c] for c in heads]
+    names = [p if n else " " + p for p, n in zip(seen, line.tolist(), strict=True)] + [seen[c] for c in heads]
     if not len(again):
         return codes, offsets, names
     known: dict[str, int] = {}

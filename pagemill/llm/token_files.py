@@ -17,10 +17,10 @@ other; an empty table gives no files and an empty result; other columns are igno
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from pagemill.llm.bpe import blocks
 
 MAGIC = b"PMTOKEN1"
 SAMPLE = 256
+#: ASCII marks: neither white space nor letters nor digits.
+MARKS = string.punctuation
 
 
 class EliasFano:
@@ -125,60 +127,83 @@ class TokenFile:
 
 
 class Words:
-    """The tokenizer, and the ids of words it met: up to twice ``cached``, the older half going first."""
+    """The tokenizer, and the ids of pieces it met: up to twice ``cached``, or those of a block, the older half going first."""
 
     def __init__(self, path: str, cached: int, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # words hold no added token's string but as ordinary text
+        self.tokenizer.encode_special_tokens = True  # pieces hold no added token's string but as ordinary text
+        found = self.tokenizer.get_added_tokens_decoder()
         #: The id of each added token by its string, and what cuts a text at them: text and strings in turn.
         self.added, self.cut = {}, None
         if added:
-            found = self.tokenizer.get_added_tokens_decoder()
             if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in found.values()):
                 raise ValueError("added tokens that look at the text around them are not known")
             self.added = {x.content: i for i, x in found.items()}
             if self.added:
                 self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
-        # the library's byte-level pre-tokeniser cuts by this pattern
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        #: Bytes of each id: a byte-level vocabulary has a character for each.
+        vocab = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = list(map(len, vocab))
+        # pieces put together must not make up an added token
+        self.most = 1 if any(c in x.content[1:] for x in found.values() for c in " \n") else 500
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached, self.known, self.old = cached, {}, {}
 
-    def ids(self, words: set[str]) -> dict[str, bytes]:
-        if len(self.known) + len(words) > self.cached:
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of ``pieces`` as bytes."""
+        out = list(map(self.known.get, pieces))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if len(self.known) + len(missing) > self.cached:
             self.old, self.known = self.known, {}
-        known, old, plain, rest = self.known, self.old, [], []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                elif w[0] == " " and w[1:].isalpha():
-                    plain.append(w)
+        known, old, cut, fresh = self.known, self.old, [], []
+        for k in missing:
+            stem = p = pieces[k]
+            if p[-1:] in MARKS:
+                # between a letter or digit and marks up to the end a match ends and another begins
+                stem = p.rstrip(MARKS)
+                if stem and stem[-1].isalnum() and stem[-1] < "\u0250":
+                    tail = p[len(stem) :]
+                    cut.append((k, stem, tail))
+                    if tail not in known:
+                        known[tail] = old.get(tail)
+                        if known[tail] is None:
+                            fresh.append(tail)
                 else:
-                    rest.append(w)
-        kind = f"<u{self.width}"
-        for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, kind).tobytes()
-        # words of a blank and letters stay apart when joined: they go to the library by the hundreds
-        for at in range(0, len(plain), 20_000):
-            parts = [plain[k : k + 500] for k in range(at, min(at + 20_000, len(plain)), 500)]
-            for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids, of = np.array(e.ids, kind).tobytes(), np.array(e.word_ids)
-                ends = (np.flatnonzero(np.diff(of, append=-1)) + 1) * self.width
-                if len(ends) != len(part):
-                    raise ValueError("the tokenizer cuts words otherwise than its pattern")
-                a = 0
-                for w, b in zip(part, ends.tolist(), strict=True):
-                    known[w] = ids[a:b]
-                    a = b
-        return known
+                    stem = p
+            if stem not in known:
+                known[stem] = old.get(stem)
+                if known[stem] is None:
+                    fresh.append(stem)
+        # no match of the pattern crosses the border of pieces that begin with one white space and end in none, see ``_pretokens.pieces``
+        joint, alone = [], []
+        for p in fresh:
+            (joint if p[:1] in (" ", "\n") and p[1:2].strip() and not p[-1].isspace() else alone).append(p)
+        for some, most in (joint, self.most), (alone, 1):
+            for at in range(0, len(some), 20_000):
+                known.update(self._encode(some[at : at + 20_000], most))
+        for k, stem, tail in cut:
+            out[k] = known[stem] + known[tail]
+        for k in missing:
+            if out[k] is None:
+                out[k] = known[pieces[k]]
+        return out
+
+    def _encode(self, pieces: list[str], most: int) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids; they go to the library ``most`` at once and are told apart by their bytes."""
+        parts = ["".join(pieces[k : k + most]) for k in range(0, len(pieces), most)]
+        ids = np.concatenate([np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        reach = np.cumsum(self.bytes_of[ids])
+        want = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        ends = np.searchsorted(reach, want, "right")
+        if not np.array_equal(np.r_[0, reach][ends], want):
+            raise ValueError("the tokenizer cuts texts otherwise than its pattern")
+        data, ends = ids.tobytes(), (ends * self.width).tolist()
+        return ((p, data[a:b]) for p, a, b in zip(pieces, [0, *ends], ends, strict=False))
 
 
 def encode_texts(texts: list[str], own: Words) -> list[bytes]:
@@ -191,11 +216,8 @@ def encode_texts(texts: list[str], own: Words) -> list[bytes]:
 
 
 def _encode_words(texts: list[str], own: Words) -> list[bytes]:
-    codes, offsets, seen = cut_block(texts)
-    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else own.find(p) for p in seen]
-    known = own.ids(set(chain.from_iterable(split)))
-    spans = Spans([known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split], own.width)
-    return list(spans.joined(codes, offsets))
+    codes, offsets, seen = cut_block(texts, lines=True)
+    return list(Spans(own.ids(seen), own.width).joined(codes, offsets))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000, added: bool = False) -> None:

@@ -612,6 +612,48 @@ def test_op10_added_tokens(spark, tmp_path):
         start += len(ids)
 
 
+class Counting:
+    """A tokenizer that counts what it is given."""
+
+    def __init__(self, own):
+        self.own, self.strings, self.characters = own, 0, 0
+
+    def _counted(self, method, texts, options):
+        self.strings += len(texts)
+        self.characters += sum(map(len, texts))
+        return getattr(self.own, method)(texts, **options)
+
+    def encode_batch(self, texts, **options):
+        return self._counted("encode_batch", texts, options)
+
+    def encode_batch_fast(self, texts, **options):
+        return self._counted("encode_batch_fast", texts, options)
+
+
+def test_op10_library_gets_pieces_by_the_hundreds_and_once():
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(3000)]
+    own = token_files.Words(public_tokenizers.path("byte_bpe_50k.json"), 20_000, True)
+    own.tokenizer = given = Counting(own.tokenizer)
+    token_files.encode_texts(["x\n" + "\n".join(names), "x " + " ".join(names)], own)
+    assert given.strings < 100
+    before = given.characters
+    token_files.encode_texts(["x " + ", ".join(names) + ".\nx", "x" + "".join(f"\n{n}!" for n in names)], own)
+    assert given.characters - before < 100
+
+
+def test_op10_texts_at_borders():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    atoms = ["a", "Foo", "don't", "'s", "'", "\n", "\n", "\n\n", " \n", "\n ", "\r\n", "\t", " ", " ", " ", "  ", ",", ".", "%%%", "12", "²", "é", "日本", "😀", "\u0301", "\xa0", "\x1c", "\x85", "ꟊ", "\U0001df00", "<|endoftext|>", "\u200b", "x" * 40]
+    texts = ["".join(rng.choice(atoms, n)) for n in rng.integers(0, 40, 3000)] + ["", "\n", " ", "a\nb", "a\n\nb\nc", "a \nb", "\na", "a\n"]
+    own = token_files.Words(path, 300, True)
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(part, own)] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+
+
 def test_op10_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 0), (1, 10**12), (5, 3), (1000, 10), (1000, 10**9), (3000, 4000), (700, 2**62)):
