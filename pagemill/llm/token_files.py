@@ -24,19 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagemill.llm._base import new_path, settle
 from pagemill.llm._files import read_files, write_files
 from pagemill.llm._kept import kept
-from pagemill.llm._pretokens import Spans, cut_block
+from pagemill.llm._pretokens import Spans, bare, cut_lines
 from pagemill.llm.bpe import blocks
 
 MAGIC = b"PMTOKEN1"
 SAMPLE = 256
 #: ASCII marks: neither white space nor letters nor digits.
 MARKS = string.punctuation
+#: Bytes of pieces that a worker remembers from block to block; up to twice as many in between.
+KEPT_BYTES = 16_000_000
+#: Letters and digits up to U+024F.
+ALNUM = np.array([chr(c).isalnum() for c in range(0x250)])
 
 
 class EliasFano:
@@ -127,7 +132,10 @@ class TokenFile:
 
 
 class Words:
-    """The tokenizer, and the ids of pieces it met: up to twice ``cached``, or those of a block, the older half going first."""
+    """The tokenizer, and the ids of pieces it met: up to twice ``cached``, or those of a block, the longest unused going first.
+
+    Pieces and ids are arrays, and all steps but the library's own go through them outside Python.
+    """
 
     def __init__(self, path: str, cached: int, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,58 +160,100 @@ class Words:
         # pieces put together must not make up an added token
         self.most = 1 if any(c in x.content[1:] for x in found.values() for c in " \n") else 500
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cached, self.known, self.old = cached, {}, {}
-
-    def ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each of ``pieces`` as bytes."""
-        out = list(map(self.known.get, pieces))
-        missing = [k for k, v in enumerate(out) if v is None]
-        if len(self.known) + len(missing) > self.cached:
-            self.old, self.known = self.known, {}
-        known, old, cut, fresh = self.known, self.old, [], []
-        for k in missing:
-            stem = p = pieces[k]
-            if p[-1:] in MARKS:
-                # between a letter or digit and marks up to the end a match ends and another begins
-                stem = p.rstrip(MARKS)
-                if stem and stem[-1].isalnum() and stem[-1] < "\u0250":
-                    tail = p[len(stem) :]
-                    cut.append((k, stem, tail))
-                    if tail not in known:
-                        known[tail] = old.get(tail)
-                        if known[tail] is None:
-                            fresh.append(tail)
-                else:
-                    stem = p
-            if stem not in known:
-                known[stem] = old.get(stem)
-                if known[stem] is None:
-                    fresh.append(stem)
-        # no match of the pattern crosses the border of pieces that begin with one white space and end in none, see ``_pretokens.pieces``
-        joint, alone = [], []
-        for p in fresh:
-            (joint if p[:1] in (" ", "\n") and p[1:2].strip() and not p[-1].isspace() else alone).append(p)
-        for some, most in (joint, self.most), (alone, 1):
-            for at in range(0, len(some), 20_000):
-                known.update(self._encode(some[at : at + 20_000], most))
-        for k, stem, tail in cut:
-            out[k] = known[stem] + known[tail]
-        for k in missing:
-            if out[k] is None:
-                out[k] = known[pieces[k]]
+        self.cached, self.block = cached, 0
+        #: Pieces, their ids and the block that last had each.
+        self.known, self.found, self.used = pa.array([], pa.string()), Spans([], self.width), np.zeros(0, np.int64)
+
+    def ids(self, pieces: pa.StringArray) -> Spans:
+        """Ids of each of ``pieces``."""
+        if not len(pieces):
+            return Spans([], self.width)
+        # between a letter or digit and marks up to the end a match ends and another begins
+        stems = pc.utf8_rtrim(pieces, MARKS)
+        cut = ends_alnum(stems) & np.asarray(pc.less(pc.binary_length(stems), pc.binary_length(pieces)))
+        tails = ends_from(pieces.filter(pa.array(cut)), np.asarray(pc.binary_length(stems))[cut])
+        encoded = pa.concat_arrays([pc.if_else(pa.array(cut), stems, pieces), tails]).dictionary_encode()
+        place = self._places(encoded.dictionary)[np.asarray(encoded.indices)]
+        at = np.flatnonzero(cut)
+        got = self.found.take(np.insert(place[: len(pieces)], at + 1, place[len(pieces) :]))
+        out = Spans.of(got.data, np.add.reduceat(got.lengths, np.arange(len(pieces)) + np.cumsum(cut) - cut))
+        self._forget()
         return out
 
-    def _encode(self, pieces: list[str], most: int) -> Iterator[tuple[str, bytes]]:
-        """Each piece with its ids; they go to the library ``most`` at once and are told apart by their bytes."""
-        parts = ["".join(pieces[k : k + most]) for k in range(0, len(pieces), most)]
-        ids = np.concatenate([np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+    def _places(self, pieces: pa.StringArray) -> np.ndarray:
+        """The places of ``pieces``, each different, among the known ones; those not yet known go to the library."""
+        self.block += 1
+        at = pc.index_in(pieces, value_set=self.known)
+        new = np.asarray(at.is_null())
+        at = np.array(at.fill_null(0), np.int64)
+        self.used[at[~new]] = self.block
+        fresh = pieces.filter(pa.array(new))
+        # no match of the pattern crosses the border of pieces that begin with one white space and end in none, see ``_pretokens.pieces``
+        joint = pc.and_(pc.match_substring_regex(fresh, "^[ \n]"), bare(pc.utf8_slice_codeunits(fresh, 1)))
+        n, data, lengths, order = len(self.known), [self.found.data], [self.found.lengths], []
+        for some, most in (joint, self.most), (pc.invert(joint), 1):
+            own = fresh.filter(some)
+            order.append(own)
+            for k in range(0, len(own), 20_000):
+                ids, sizes = self._encode(own.slice(k, 20_000), most)
+                data.append(ids)
+                lengths.append(sizes)
+        joint = np.asarray(joint)
+        at[np.flatnonzero(new)[np.r_[np.flatnonzero(joint), np.flatnonzero(~joint)]]] = n + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, *order])
+        self.found = Spans.of(np.concatenate(data), np.concatenate(lengths))
+        self.used = np.r_[self.used, np.full(len(fresh), self.block)]
+        return at
+
+    def _forget(self) -> None:
+        """Where there are over twice as many, keep the ``cached`` pieces last used, of ``KEPT_BYTES`` in all and none of over a sixteenth of that."""
+        if len(self.known) > 2 * self.cached or self.known.nbytes > 2 * KEPT_BYTES:
+            size = np.asarray(pc.binary_length(self.known)).astype(np.int64)
+            last = np.argsort(-self.used, kind="stable")
+            last = last[size[last] <= KEPT_BYTES // 16][: self.cached]
+            last = np.sort(last[np.cumsum(size[last]) <= KEPT_BYTES])
+            self.known, self.found, self.used = self.known.take(pa.array(last)), self.found.take(last), self.used[last]
+
+    def _encode(self, pieces: pa.StringArray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has; they go to the library ``most`` at once and are told apart by their bytes."""
+        parts = pieces
+        if most > 1:
+            parts = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), most), len(pieces)], pa.int32()), pieces), "")
+        ids = np.concatenate([np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)])
         reach = np.cumsum(self.bytes_of[ids])
-        want = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        want = np.cumsum(np.asarray(pc.binary_length(pieces)), dtype=np.int64)
         ends = np.searchsorted(reach, want, "right")
         if not np.array_equal(np.r_[0, reach][ends], want):
             raise ValueError("the tokenizer cuts texts otherwise than its pattern")
-        data, ends = ids.tobytes(), (ends * self.width).tolist()
-        return ((p, data[a:b]) for p, a, b in zip(pieces, [0, *ends], ends, strict=False))
+        return ids, np.diff(ends, prepend=0)
+
+
+def ends_alnum(strings: pa.StringArray) -> np.ndarray:
+    """Whether the last character of each is a letter or digit up to U+024F."""
+    offsets, data = buffers(strings)
+    if not len(data):
+        return np.zeros(len(strings), bool)
+    ends = offsets[1:]
+    last, before = data[np.maximum(ends - 1, 0)].astype(np.int64), data[np.maximum(ends - 2, 0)].astype(np.int64)
+    code = np.where(last < 0x80, last, np.where((before >= 0xC2) & (before <= 0xC9), (before & 0x1F) << 6 | last & 0x3F, 0))
+    return (ends > offsets[:-1]) & (code < len(ALNUM)) & ALNUM[np.minimum(code, len(ALNUM) - 1)]
+
+
+def ends_from(strings: pa.StringArray, first: np.ndarray) -> pa.StringArray:
+    """Each string from its byte ``first`` on."""
+    offsets, data = buffers(strings)
+    lengths = np.diff(offsets) - first
+    to = np.r_[0, np.cumsum(lengths)]
+    body = data[np.repeat(offsets[1:] - to[1:], lengths) + np.arange(to[-1])]
+    return pa.StringArray.from_buffers(len(strings), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(body))
+
+
+def buffers(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings begin and the last ends, and the bytes."""
+    if not len(strings):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = strings.buffers()
+    return np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64), np.frombuffer(data or b"", np.uint8)
 
 
 def encode_texts(texts: list[str], own: Words) -> list[bytes]:
@@ -216,8 +266,8 @@ def encode_texts(texts: list[str], own: Words) -> list[bytes]:
 
 
 def _encode_words(texts: list[str], own: Words) -> list[bytes]:
-    codes, offsets, seen = cut_block(texts, lines=True)
-    return list(Spans(own.ids(seen), own.width).joined(codes, offsets))
+    codes, offsets, seen = cut_lines(texts)
+    return list(own.ids(seen).joined(codes, offsets))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", file_ids: int = 4_000_000, cached: int = 300_000, added: bool = False) -> None:

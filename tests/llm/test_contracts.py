@@ -654,6 +654,38 @@ def test_op10_texts_at_borders():
         assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(part, own)] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
 
 
+def test_op10_no_python_for_each_piece():
+    import sys
+
+    own, calls = token_files.Words(public_tokenizers.path("byte_bpe_50k.json"), 20_000, True), [0]
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)]
+    texts = ["x " + ", ".join(names) + ".\nx", "x" + "".join(f"\n{n}" for n in names)]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = token_files.encode_texts(texts, own)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 5000 and [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op10_pieces_kept_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 4000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), token_files.Words(path, 50, True)
+    often = "the same words, in each block. "
+    for k in range(30):
+        # many short pieces and a long one in turn; every character up to U+024F before a mark
+        texts = [often + " ".join(f"w{k}{i}!" for i in range(200)), "", often + f"{k}é" * 1500, " ".join(f"a{chr(c)}, {chr(c)}{k}" for c in range(k * 20, k * 20 + 20)), "\u0250. ɏ. ꟊ. 日, 😀!"]
+        assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(texts, own)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert 50 <= len(own.known) <= 100 and own.known.nbytes <= 8000 and len(own.known) == len(own.found.lengths) == len(own.used)
+
+
 def test_op10_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 0), (1, 10**12), (5, 3), (1000, 10), (1000, 10**9), (3000, 4000), (700, 2**62)):
