@@ -27,32 +27,10 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def cut_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes of the pieces of all texts, where each text's begin and the last ends, the pieces by code)."""
-    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    encoded = lists.values.dictionary_encode()
-    del lists  # a block's texts
-    codes, seen = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
-    if not len(codes):
-        return codes, offsets, []
-    odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in seen])
-    first = offsets[:-1]
-    again = np.flatnonzero(np.logical_or.reduceat(odd[codes], first))
-    # pieces that begin a text have no blank before them
-    heads, at = np.unique(codes[first], return_inverse=True)
-    codes[first] = len(seen) + at
-    names = [" " + p for p in seen] + [seen[c] for c in heads]
-    if not len(again):
-        return codes, offsets, names
-    codes, offsets, more = _cut_again(texts, again, codes, offsets, len(names))
-    return codes, offsets, names + more
-
-
 def cut_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
-    """What ``cut_block`` gives, with an array of the pieces; texts whose line feeds all stand alone are cut before these as well.
+    """(codes of the pieces of all texts, where each text's begin and the last ends, the pieces by code).
 
-    No step goes through the pieces in Python but for texts with white space of two characters or at their ends.
+    Texts whose line feeds all stand alone are cut before these as well. No step goes through the pieces in Python but for texts with white space of two characters or at their ends.
     """
     column = pa.array(texts, pa.string())
     # a blank goes before each line feed, which then stands for the two

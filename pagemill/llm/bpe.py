@@ -1,10 +1,9 @@
 """Byte-level BPE by DuckDB recursive queries, one database per partition.
 
 Texts become pieces, pieces pre-tokens, and only pre-tokens not met before in the partition go to the database. There,
-token-position rows join the merge table; each word contracts its pair of least rank, again until no pair is left. All
-left-most non-overlapping places of that pair contract in one step where no vocabulary entry could make the order matter
-(``unsafe`` ranks, found from the vocabulary itself, contract one place a step). Decoding joins ids to their bytes and
-aggregates them in order.
+token-position rows join the merge table; each word contracts its pair of least rank and all those that nothing of a lower
+rank can reach (``merge_table`` finds from the vocabulary itself what can), again until no pair is left. Decoding takes the
+bytes of each id from the vocabulary and puts them together in order.
 
 Words of over ``CHUNK`` bytes go in chunks, as the steps of the recursion grow with a word's length. Ids are the encoding of
 their bytes if and only if each two neighbours are that of theirs: until some merge crosses a border between tokens, either
@@ -12,7 +11,7 @@ side goes its own way, so the first to cross would do so with these two tokens a
 where the tokens at a border fit; where they don't, the tokens around it are encoded anew, twice as many each time, until
 they do.
 
-Memory: rows come in blocks of bounded bytes, the memory of words drops its older half when it would pass twice ``cached`` of them, and each
+Memory: rows come in blocks of bounded bytes, the memory of words drops those longest unused when it would pass twice ``cached`` of them, and each
 database has a memory limit. Defined cases: a null text is empty (no ids); a text of any length goes whole, alone in its
 block if it is long; ties and repeated rows are encoded row by row; an empty table gives an empty result; other columns are
 ignored.
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.llm._kept import kept
-from pagemill.llm._pretokens import Spans, cut_block
+from pagemill.llm._pretokens import Spans, cut_lines
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,56 +37,84 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[int], set[int]]:
-    """(left, right, rank) of every pair of tokens whose joined bytes are a token, the unsafe ranks, and those that overlap.
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, codes), in order, of every pair of tokens that merges or whose neighbours may have to wait for it.
 
-    A rank is unsafe if contracting its pair can bring up a pair of lower rank: then its places must contract one by one.
-    For that a token x = p + q and a neighbour n must join to a token of lower rank than x, while q + n (or n + p) is no
-    token of lower rank than x, or it would have contracted first. Places of a rank can overlap if one token ends one of
-    its pairs and begins another (or the same).
+    A pair of rank r may contract before its turn if nothing of a lower rank can come to touch it, nor what it becomes:
+
+    - its rank is the least of its neighbours' (of equal ones the left-most goes first);
+    - the token x before it, should it grow to the left, joins no first token y of the pair at a rank up to r: no token of
+      such a rank is some longer token that ends in x, and y (``left`` has the least such rank of x, y);
+    - the like for what comes after it (``right``);
+    - the token it becomes is part of no token of lower rank (its code is even).
+
+    Until its turn merging then goes on beside it as if it were still a pair, so the ids are those of contracting the least
+    rank of the word alone, which always may. A code holds the rank, one bound for the pair after it, one for the pair
+    before it, and that last bit.
     """
-    splits: dict[bytes, list[tuple[bytes, bytes]]] = {}
-    for token in ranks:
-        splits[token] = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-    left, right, rank = [], [], []
-    unsafe, overlap = set(), set()
-    for token, pairs in splits.items():
-        r = ranks[token]
-        if {a for a, _ in pairs} & {b for _, b in pairs}:
-            overlap.add(r)
-        for a, b in pairs:
-            left.append(ranks[a])
-            right.append(ranks[b])
-            rank.append(r)
-            if ranks[a] > r and any(ranks.get(q + b, 1 << 30) > ranks[a] for _, q in splits[a]):
-                unsafe.add(ranks[a])
-            if ranks[b] > r and any(ranks.get(a + p, 1 << 30) > ranks[b] for p, _ in splits[b]):
-                unsafe.add(ranks[b])
-    return np.array(left, np.int32), np.array(right, np.int32), np.array(rank, np.int32), unsafe, overlap
-
-
-#: Rows of a word carry a key of the pair that begins at them: twice its rank, and one if its places contract one by one,
-#: then the position (no pair: NO). A step finds each word's least key, contracts there (or at all places of the rank) and
-#: joins the new neighbours to the merge table; words without a pair are finished.
-NO = 1 << 24
-_KEYED = f"coalesce(m.code, {NO}) * {1 << 32} + c.pos AS key FROM ({{0}}) c LEFT JOIN merges m ON m.a = c.id AND m.b = c.next"
-_HIT = "({0} = best OR ((best >> 32) & 1 = 0 AND {0} >> 32 = best >> 32))"
+    rank: dict[tuple[int, int], int] = {}
+    left: dict[tuple[int, int], int] = {}
+    right: dict[tuple[int, int], int] = {}
+    waits = set()
+    for token, r in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is None or b is None:
+                continue
+            rank[a, b] = r
+            waits.update(x for x in (a, b) if x > r)
+            for k in range(1, i):
+                x = ranks.get(token[k:i])
+                if x is not None and left.get((x, b), NO) > r:
+                    left[x, b] = r
+            for k in range(i + 1, len(token)):
+                x = ranks.get(token[i:k])
+                if x is not None and right.get((a, x), NO) > r:
+                    right[a, x] = r
+    pairs = sorted(rank.keys() | left.keys() | right.keys())
+    own, before, after = (np.array([of.get(p, NO) for p in pairs], np.int64) for of in (rank, left, right))
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return a << 32 | b, own << 43 | np.minimum(own, before) << 22 | np.minimum(own + 1, after) << 1 | np.isin(own, sorted(waits))
+
+
+#: The rank of a pair that does not merge; ranks are less.
+NO = (1 << 20) - 1
+#: The code of a pair that neither merges nor holds up another.
+FREE = NO << 43 | NO << 22 | NO << 1
+
+
+def _hit(code: str, before: str, after: str, token: str) -> str:
+    """Whether the pair of ``code`` contracts, which begins at ``token``; the codes beside it."""
+    alone = f"best < {NO << 32} AND ((({code} >> 43) << 32) | ({token} >> 32)) = best"
+    return f"({code} & 1 = 0 AND {code} >> 43 < (({before} >> 22) & {2 * NO + 1}) AND {code} >> 43 < (({after} >> 1) & {2 * NO + 1}) OR {alone})"
+
+
+def _then(code: str, token: str, hit: str) -> str:
+    """The id at a place after the step."""
+    return f"CASE WHEN {hit} THEN {code} >> 43 ELSE {token} & {(1 << 32) - 1} END"
+
+
+_HIT = _hit("code", "code_1", "code1", "token")
+#: A row is a token of a word, with its position before its id, and the code of the pair that begins there. A step contracts
+#: all pairs of a word that may, joins the new neighbours to the merge table, and marks words without a pair as done.
 ENCODE = f"""
-WITH RECURSIVE step(word, pos, id, key, best) AS (
-    SELECT *, min(key) OVER (PARTITION BY word) FROM (SELECT c.word, c.pos, c.id, {_KEYED.format("SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM start")})
+WITH RECURSIVE step(word, token, code, done) AS (
+    SELECT word, token, code, false FROM start
     UNION ALL
-    SELECT *, min(key) OVER (PARTITION BY word) FROM (SELECT c.word, c.pos, c.id, {_KEYED.format(f"""
-        SELECT word, pos, CASE WHEN {_HIT.format("key")} THEN best >> 33 ELSE id END AS id,
-               CASE WHEN {_HIT.format("key")} THEN CASE WHEN {_HIT.format("key2")} THEN best >> 33 ELSE id2 END
-                    WHEN {_HIT.format("key1")} THEN best >> 33 ELSE id1 END AS next
-        FROM (SELECT word, pos, id, key, best, lag(key) OVER w AS key0, lead(key) OVER w AS key1, lead(key, 2) OVER w AS key2, lead(id) OVER w AS id1, lead(id, 2) OVER w AS id2
-              FROM step WHERE best < {NO << 32} WINDOW w AS (PARTITION BY word ORDER BY pos))
-        WHERE NOT coalesce({_HIT.format("key0")}, false)
-    """)})
+    SELECT c.word, c.token, coalesce(m.code, {FREE}), c.done FROM (
+        SELECT word, ((token >> 32) << 32) | {_then("code", "token", _HIT)} AS token,
+               CASE WHEN {_HIT} THEN {_then("code2", "token2", _hit("code2", "code1", "code3", "token2"))}
+                    ELSE {_then("code1", "token1", _hit("code1", "code", "code2", "token1"))} END AS next,
+               best >= {NO << 32} AS done
+        FROM (SELECT word, token, code, min(((code >> 43) << 32) | (token >> 32)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+                     lag(code, 2, {FREE}) OVER w AS code_2, lag(code, 1, {FREE}) OVER w AS code_1, lead(code, 1, {FREE}) OVER w AS code1, lead(code, 2, {FREE}) OVER w AS code2,
+                     lead(code, 3, {FREE}) OVER w AS code3, lag(token, 1, -1) OVER w AS token_1, lead(token, 1, -1) OVER w AS token1, lead(token, 2, -1) OVER w AS token2
+              FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY token))
+        WHERE NOT {_hit("code_1", "code_2", "code", "token_1")}
+    ) c LEFT JOIN merges m ON m.pair = ((c.token & {(1 << 32) - 1}) << 32) | c.next
 )
-SELECT word, list(id::INTEGER ORDER BY pos) AS ids FROM step WHERE best >= {NO << 32} GROUP BY word
+SELECT word, (token & {(1 << 32) - 1})::INTEGER AS id FROM step WHERE done ORDER BY word, token
 """
-DECODE = "SELECT word, string_agg(v.text, '' ORDER BY i.pos) AS text FROM ids i JOIN vocab v USING (id) GROUP BY word"
 
 
 #: Bytes of a chunk of a long word. A multiple of many short periods, so that what repeats in a word is cut in step.
@@ -102,66 +129,83 @@ class Encoder:
         import regex
 
         self.ranks = load_ranks(path)
+        if max(self.ranks.values()) >= NO:
+            raise ValueError(f"ranks of {NO} and more are not known")
         self.pattern = regex.compile(pattern)
-        self.cached, self.known, self.old, self.size = cached, {}, {}, 0
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": ""})
-        a, b, rank, unsafe, overlap = merge_table(self.ranks)
-        one = np.isin(rank, sorted(unsafe | overlap))
-        self._table("merges", a=a, b=b, code=rank.astype(np.int64) * 2 + one)
-        # bytes as the characters of the same numbers: DuckDB joins strings in order, and Latin-1 gives the bytes back
-        self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), text=pa.array([t.decode("latin-1") for t in self.ranks]))
+        pair, code = merge_table(self.ranks)
+        self._table("merges", pair=pair, code=code)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
+        #: The bytes of each id.
+        self.vocab = Spans([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)])
         self.fits: dict[tuple[int, int], bool] = {}
-        self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        #: The code of each pair of bytes.
+        both = self.byte_id[:, None] << 32 | self.byte_id
+        at = np.minimum(np.searchsorted(pair, both), max(len(pair) - 1, 0))
+        self.byte_code = np.where(pair[at] == both, code[at], FREE) if len(pair) else np.full(both.shape, FREE)
+        self.cached, self.block = cached, 0
+        #: The place of each known word, in order; the ids at each place, what it counts for and the block that last had it.
+        self.known: dict[str, int] = {}
+        self.found, self.weight, self.used = Spans([], 4), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("__in", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM __in")
         self.db.unregister("__in")
 
-    def words(self, words: set[str]) -> dict[str, bytes]:
-        """By word: the number of ids in four bytes, the ids in four bytes each, the decoded bytes.
+    def words(self, words: list[str]) -> Spans:
+        """Ids of each of ``words``.
 
-        What was met before is remembered, up to twice ``cached`` words, one object for each; a long word counts as several.
+        What was met before is remembered, up to twice ``cached`` words, or ``cached`` and those of a block; a long word
+        counts as several, and the longest unused go first.
         """
-        size = sum(1 + len(w) // 100 for w in words)
-        if self.size + size > self.cached:
-            self.old, self.known, self.size = self.known, {}, 0
-        self.size += size
-        known, old = self.known, self.old
-        fresh = []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    fresh.append(w)
-        ids = self.encode([w.encode("utf-8") for w in fresh])
-        for w, i, text in zip(fresh, ids, self.decode(ids), strict=True):
-            known[w] = len(i).to_bytes(4, "little") + i.astype("<u4").tobytes() + text
-        return known
-
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        weight = [1 + len(w) // 100 for w in fresh]
+        if self.weight.sum() + sum(weight) > 2 * self.cached:
+            self._forget()
+            known = self.known
+            fresh = [w for w in dict.fromkeys(words) if w not in known]
+            weight = [1 + len(w) // 100 for w in fresh]
+        if fresh:
+            new = self.encode([w.encode("utf-8") for w in fresh])
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self.found = Spans.of(np.concatenate([self.found.data, new.data]), np.concatenate([self.found.lengths, new.lengths]))
+            self.weight = np.concatenate([self.weight, np.array(weight, np.int64)])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.block += 1
+        self.used[place] = self.block
+        return self.found.take(place)
+
+    def _forget(self) -> None:
+        """Keep the words last used that count for ``cached``."""
+        last = np.argsort(-self.used, kind="stable")
+        last = np.sort(last[np.cumsum(self.weight[last]) <= self.cached])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(last.tolist())}
+        self.found, self.weight, self.used = self.found.take(last), self.weight[last], self.used[last]
+
+    def encode(self, words: list[bytes]) -> Spans:
         """Ids of each word; a word that is a token is that token."""
-        out = [None] * len(words)
-        rest, long = [], []
-        for k, w in enumerate(words):
-            known = self.ranks.get(w)
-            if known is not None:
-                out[k] = np.array([known], np.uint32)
-            else:
-                (rest if len(w) <= 2 * CHUNK else long).append(k)
-        self._recurse(words, rest, out)
-        for k in long:
-            out[k] = self._chunked(words[k])
-        return out
+        tokens = list(map(self.ranks.get, words))
+        rest = [k for k, i in enumerate(tokens) if i is None and len(words[k]) <= 2 * CHUNK]
+        long = [k for k, i in enumerate(tokens) if i is None and len(words[k]) > 2 * CHUNK]
+        ids, lengths = self._recurse([words[k] for k in rest])
+        chunked = [self._chunked(words[k]) for k in long]
+        single = [k for k, i in enumerate(tokens) if i is not None]
+        data = np.concatenate([ids, *chunked, np.array([tokens[k] for k in single], np.uint32)])
+        lengths = np.concatenate([lengths, np.array([len(c) for c in chunked], np.int64), np.ones(len(single), np.int64)])
+        place = np.empty(len(words), np.int64)
+        place[rest + long + single] = np.arange(len(words))
+        return Spans.of(data, lengths).take(place)
 
     def merged(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word by merging alone, be it a token or not."""
-        out = [None] * len(words)
         # a chunk takes more steps than a word does, and all steps' rows are kept
-        self._recurse(words, range(len(words)), out, 40_000)
-        return out
+        ids, lengths = self._recurse(words, 40_000)
+        return np.split(ids, np.cumsum(lengths)[:-1]) if words else []
 
     def _chunked(self, word: bytes) -> np.ndarray:
         """Ids of a word of any length."""
@@ -193,58 +237,45 @@ class Encoder:
             self.fits[p] = got.tolist() == list(p)
         return borders[[not self.fits[p] for p in pairs]] if pairs else borders[:0]
 
-    def _recurse(self, words: list[bytes], rest: Sequence[int], out: list, most: int = 400_000) -> None:
-        at = 0
-        while at < len(rest):  # by bounded bytes
-            size, to = 0, at
-            while to < len(rest) and (to == at or size + len(words[rest[to]]) <= most):
-                size += len(words[rest[to]])
-                to += 1
-            part = rest[at:to]
-            lengths = np.array([len(words[k]) for k in part])
-            data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self._table("start", word=np.repeat(np.arange(len(part), dtype=np.int32), lengths), pos=pos.astype(np.int32), id=self.byte_id[data])
+    def _recurse(self, words: list[bytes], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        sizes, ids, counts, at = np.array([len(w) for w in words], np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(sizes)
+        while at < len(words):  # by bounded bytes
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            lengths = sizes[at:to]
+            data = np.frombuffer(b"".join(words[at:to]), np.uint8)
+            last = np.cumsum(lengths)
+            pos = np.arange(len(data)) - np.repeat(last - lengths, lengths)
+            code = np.full(len(data), FREE)
+            code[:-1] = self.byte_code[data[:-1], data[1:]]
+            code[last[lengths > 0] - 1] = FREE
+            self._table("start", word=np.repeat(np.arange(to - at, dtype=np.int32), lengths), token=pos << 32 | self.byte_id[data], code=code)
             got = self.db.sql(ENCODE).to_arrow_table()
-            word, ids = got["word"].to_numpy(), got["ids"].combine_chunks()
-            values, offsets = np.asarray(ids.values).astype(np.uint32), np.asarray(ids.offsets)
-            for w, a, b in zip(word.tolist(), offsets.tolist(), offsets.tolist()[1:], strict=False):
-                out[part[w]] = values[a:b]
+            ids.append(got["id"].to_numpy().astype(np.uint32))
+            counts.append(np.bincount(got["word"].to_numpy(), minlength=to - at))
             at = to
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+    def decode(self, ids: Spans) -> Spans:
         """The bytes of each sequence of ids."""
-        out = [b""] * len(ids)
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        if not lengths.sum():
-            return out
-        word = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-        pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self._table("ids", word=word, pos=pos.astype(np.int32), id=np.concatenate(ids).astype(np.int32))
-        got = self.db.sql(DECODE).to_arrow_table()
-        for w, t in zip(got["word"].to_pylist(), got["text"].to_pylist(), strict=True):
-            out[w] = t.encode("latin-1")
-        return out
+        text = self.vocab.take(ids.data)
+        ends = np.concatenate([[0], np.cumsum(text.lengths)])[np.cumsum(ids.lengths)]
+        return Spans.of(text.data, np.diff(ends, prepend=0))
 
 
 def _encoded(texts: list[str], enc: Encoder) -> Iterator[tuple[bytes, bytes]]:
     """(ids as little-endian 32-bit integers, decoded bytes) of each text; ``enc`` remembers words."""
-    codes, offsets, seen = cut_block(texts)
+    codes, offsets, seen = cut_lines(texts)
     find = enc.pattern.findall
     # letters alone, but for a blank before them, are one match
-    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in seen]
-    known = enc.words(set(chain.from_iterable(split)))
-    ids, text = [], []
-    for ws in split:
-        i = t = b""
-        for w in ws:
-            v = known[w]
-            end = 4 + 4 * int.from_bytes(v[:4], "little")
-            i += v[4:end]
-            t += v[end:]
-        ids.append(i)
-        text.append(t)
-    ids, text = Spans(ids, 4), Spans(text)
+    split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in seen.to_pylist()]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    ids = enc.words(list(chain.from_iterable(split)))
+    del split
+    ends = np.concatenate([[0], np.cumsum(ids.lengths)])[np.cumsum(counts)]
+    ids = Spans.of(ids.data, np.diff(ends, prepend=0))
+    text = enc.decode(ids)
     yield from zip(ids.joined(codes, offsets), text.joined(codes, offsets), strict=True)
 
 

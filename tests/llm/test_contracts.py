@@ -519,6 +519,56 @@ def test_op8_as_tiktoken(spark, sf, docs, edge, empty):
     assert bpe.digests(edge, path, public_tokenizers.PATTERN).count() == len(EDGE) and bpe.digests(empty, path, public_tokenizers.PATTERN).collect() == []
 
 
+
+def test_op8_steps_are_few():
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(["the", "ing", "on", "er", "que", "sch", "an", "ed", "ß", "ción"], 4)).encode() for _ in range(1000)]
+    enc.merged(words)
+    got = enc.db.sql(bpe.ENCODE[: bpe.ENCODE.rindex("SELECT word")] + "SELECT count(*) FROM step").fetchall()[0][0]
+    # contracting one rank of a word a step made 4.9 rows a byte
+    assert got < 4 * sum(map(len, words))
+
+
+def test_op8_merges_as_one_by_one(tmp_path):
+    import base64
+
+    def plain(word, ranks):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    # vocabularies in which long tokens may come before their parts, and many pairs overlap
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        letters = list("abcde"[: 2 + seed % 3])
+        tokens = sorted({"".join(rng.choice(letters, rng.integers(2, 7))).encode() for _ in range(10 + 2 * seed)})
+        rng.shuffle(tokens)
+        if seed % 2:
+            tokens.sort(key=len)
+        ranks = {t: i for i, t in enumerate([*(bytes([i]) for i in range(256)), *tokens] if seed % 5 else [*tokens, *(bytes([i]) for i in range(256))])}
+        (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+        enc = bpe.Encoder(str(tmp_path / "ranks"), ".+")
+        words = [b"a" * 17, *("".join(rng.choice(letters, n)).encode() for n in (1, 2, 3, 5, 8, 13, 30) * 10), "".join(rng.choice(letters, 500)).encode()]
+        assert [g.tolist() for g in enc.merged(words)] == [plain(w, ranks) for w in words]
+        ids, text = enc.encode(words), enc.decode(enc.encode(words))
+        want = [[ranks[w]] if w in ranks else plain(w, ranks) for w in words]
+        assert ids.lengths.tolist() == [len(w) for w in want] and ids.data.tolist() == sum(want, [])
+        assert text.lengths.tolist() == [len(w) for w in words] and text.data.tobytes() == b"".join(words)
+
+
+def test_op8_forgets_words_without_harm():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    small, large = bpe.Encoder(path, public_tokenizers.PATTERN, cached=40), bpe.Encoder(path, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(list("abcdéf"), rng.integers(1, 9))) for _ in range(rng.integers(0, 40))) for _ in range(3)] + ["xy" * 3000]
+        assert list(bpe._encoded(texts, small)) == list(bpe._encoded(texts, large))
+    assert len(small.known) <= 40 + 120 and len(large.known) > 500
+
+
 # 9
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
